@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing
+from . import ann, mixing, topk
 from ._common import table
 
 
@@ -12,9 +13,21 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.0, max_repeats=3)
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_exact_top_k": op2_exact_top_k,
+    "op7_nearest": op7_nearest,
 }
 ORACLE_SQL = {
     "op1_mix_sources": mixing.SQL,
+    "op2_exact_top_k": topk.SQL,
+    "op7_nearest": ann.SQL,
 }
