@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, mixing, topk
+from . import ann, mixing, sentencepieces, topk
 from ._common import table
 
 
+#: A parameter of what takes it; this is the installed one.
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.0, max_repeats=3)
 
@@ -17,6 +22,10 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
+    return sentencepieces.round_trip_digests(table(spark, sf_dir, "documents"), sentencepieces.model_bytes(model))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -24,6 +33,7 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_top_k": op2_exact_top_k,
+    "op3_sentencepiece": op3_sentencepiece,
     "op7_nearest": op7_nearest,
 }
 ORACLE_SQL = {
