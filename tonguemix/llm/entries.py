@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, mixing, sentencepieces, topk
+from . import ann, chat, mixing, sentencepieces, topk
 from ._common import table
 
 
@@ -26,6 +26,14 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL
     return sentencepieces.round_trip_digests(table(spark, sf_dir, "documents"), sentencepieces.model_bytes(model))
 
 
+def op4_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit("</s>[INST] ok [/INST]")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), said.alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat.conversation_digests(chat.read_chats(chat.format_chats(chat.message_log(rows))))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -34,10 +42,12 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_top_k": op2_exact_top_k,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_format_chats": op4_format_chats,
     "op7_nearest": op7_nearest,
 }
 ORACLE_SQL = {
     "op1_mix_sources": mixing.SQL,
     "op2_exact_top_k": topk.SQL,
+    "op4_format_chats": chat.SQL,
     "op7_nearest": ann.SQL,
 }
