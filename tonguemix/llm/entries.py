@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, mixing, sentencepieces, topk
+from . import ann, chat, mixing, secret_scan, sentencepieces, topk
 from ._common import table
 
 
@@ -34,6 +34,14 @@ def op4_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.read_chats(chat.format_chats(chat.message_log(rows))))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans")
+    )
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -43,6 +51,7 @@ QUERIES = {
     "op2_exact_top_k": op2_exact_top_k,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_format_chats": op4_format_chats,
+    "op5_secret_scan": op5_secret_scan,
     "op7_nearest": op7_nearest,
 }
 ORACLE_SQL = {

@@ -23,10 +23,8 @@ from ._common import stored
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_HEAD = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
-ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]+"
-ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
-TOKEN = r"[A-Za-z0-9+/_=-]+"
-MIN_TOKEN = 20
+ACCESS, HEX, TOKEN = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}", r"[A-Za-z0-9+/_=-]{20,}"
+ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH, MIN_TOKEN = 6, 20, 24, 20
 
 #: For an alphabet its pattern, its size, and the rate at which two letters of ordinary text in it agree.
 ALPHABETS = (("^[0-9]+$", 10, 0.14), ("^[0-9a-f]+$|^[0-9A-F]+$", 16, 0.13), ("^[A-Z2-7]+=*$", 32, 0.068), ("^[0-9a-z]+$|^[0-9A-Z]+$", 36, 0.066), ("", 64, 0.062))
@@ -41,23 +39,24 @@ SPAN = "array<struct<start:int,end:int,rank:int,text:string>>"
 CHUNK = 512  # even: a chunk begins outside a match
 
 
-def _matches(text: Column, pattern: str, rank: int, least: int, drop: str = "") -> Column:
-    """Leftmost non-overlapping matches as spans in code points; least: characters, without what drop matches.
+def _chunks(text: Column, pattern: str) -> Column:
+    """The text split at its leftmost non-overlapping matches, so that every second part is one; CHUNK parts at a time.
 
-    Matches are put between two marks that the text has no use for, and the text is split there, so
-    every second part is a match. Running lengths are summed by chunks of parts, so the time does
-    not grow with the square of their number.
+    Matches are put between marks that the text has no use for, and the text is split there.
     """
     parts = F.split(F.regexp_replace(text, pattern, "\u0001$0\u0001"), "\u0001")
-    longs = F.transform(parts, F.length)
+    pairs = F.arrays_zip(parts.alias("part"), F.transform(parts, F.length).alias("long"))
     count = F.ceil(F.size(parts) / CHUNK).cast("int")
-    pairs = F.arrays_zip(parts.alias("part"), longs.alias("long"))
-    chunks = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(pairs, i * CHUNK + 1, F.lit(CHUNK)))
-    return chunks, rank, least, drop
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(pairs, i * CHUNK + 1, F.lit(CHUNK)))
 
 
-def _located(rank: int, least: int, drop: str, chunks: Column) -> Column:
-    size = lambda part: F.length(F.regexp_replace(part, drop, "")) if drop else F.length(part)
+def _located(chunks: Column, rank: int, least: int, head: str) -> Column:
+    """Spans, in code points, of the matches that have the least length without what head matches.
+
+    Running lengths are summed by chunk and then within chunks, so that a text with very many
+    matches does not take time by the square of their number.
+    """
+    size = lambda part: F.length(F.regexp_replace(part, head, "")) if head else F.length(part)
     sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, p: a + p["long"]))
     starts = F.aggregate(sums, F.array(F.lit(0)), lambda a, s: F.concat(a, F.array(F.element_at(a, -1) + s)))
 
@@ -77,16 +76,13 @@ def _located(rank: int, least: int, drop: str, chunks: Column) -> Column:
 def with_candidates(docs: DataFrame, text: str) -> DataFrame:
     """docs with base (spans of the patterns) and tokens (spans for the battery that meet no base span)."""
     clean = F.translate(F.coalesce(F.col(text), F.lit("")), "\u0001", "�")
+    # Kinds whose matches are whole runs are only looked for at sufficient length: shorter runs hold no other match.
     wanted = (("assign", ASSIGN, ASSIGN_VALUE, ASSIGN_HEAD), ("access", ACCESS, ACCESS_LENGTH, ""), ("hex", HEX, HEX_LENGTH, ""), ("random", TOKEN, MIN_TOKEN, ""))
-    # A pattern that the text cannot match at sufficient length costs one scan and no split.
-    ahead = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}", "random": "[A-Za-z0-9+/_=-]{20}"}
-    # Only matches of these lengths are marked for the kinds whose matches are whole runs: shorter runs cannot qualify.
-    marked = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}", "random": "[A-Za-z0-9+/_=-]{20,}"}
     out = docs.withColumn("__clean", clean)
-    for rank, (kind, _, least, drop) in enumerate(wanted):
-        chunks, *rest = _matches(F.col("__clean"), marked[kind], rank, least, drop)
-        out = out.withColumn(f"__{kind}", F.when(F.col("__clean").rlike(ahead[kind]), chunks))
-        out = out.withColumn(f"__{kind}", F.coalesce(F.when(F.col(f"__{kind}").isNotNull(), _located(*rest, F.col(f"__{kind}"))), F.array().cast(SPAN)))
+    for rank, (kind, pattern, least, head) in enumerate(wanted):
+        out = out.withColumn(f"__{kind}", F.when(F.col("__clean").rlike(pattern), _chunks(F.col("__clean"), pattern)))
+        spans = _located(F.col(f"__{kind}"), rank, least, head)
+        out = out.withColumn(f"__{kind}", F.coalesce(F.when(F.col(f"__{kind}").isNotNull(), spans), F.array().cast(SPAN)))
     base = F.array_sort(F.transform(F.concat("__assign", "__access", "__hex"), lambda s: F.struct(s["start"], s["rank"], s["end"])))
     out = out.withColumn("base", F.transform(base, lambda s: F.struct(s["start"], s["end"], s["rank"])))
     free = F.filter("__random", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
