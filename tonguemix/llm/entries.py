@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, mixing, secret_scan, sentencepieces, topk
+from . import ann, chat, langid, mixing, secret_scan, sentencepieces, topk
 from ._common import table
 
 
@@ -42,6 +42,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    filters = langid.train(docs, F.col("doc_id").isNotNull() & ~langid.is_held_out(F.col("doc_id")))
+    return langid.identify(docs, filters)
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -52,6 +58,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_format_chats": op4_format_chats,
     "op5_secret_scan": op5_secret_scan,
+    "op6_language_id": op6_language_id,
     "op7_nearest": op7_nearest,
 }
 ORACLE_SQL = {
