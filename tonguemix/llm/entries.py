@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, mixing, secret_scan, sentencepieces, topk
+from . import ann, chat, langid, licences, mixing, secret_scan, sentencepieces, topk
 from ._common import table
 
 
@@ -52,6 +52,10 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_top_k": op2_exact_top_k,
@@ -60,10 +64,12 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_language_id": op6_language_id,
     "op7_nearest": op7_nearest,
+    "op8_licence_scan": op8_licence_scan,
 }
 ORACLE_SQL = {
     "op1_mix_sources": mixing.SQL,
     "op2_exact_top_k": topk.SQL,
     "op4_format_chats": chat.SQL,
     "op7_nearest": ann.SQL,
+    "op8_licence_scan": licences.SQL,
 }
