@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, licences, mixing, secret_scan, sentencepieces, topk
+from . import ann, chat, langid, licences, mixing, neardup, secret_scan, sentencepieces, topk
 from ._common import table
 
 
@@ -56,6 +56,10 @@ def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_top_k": op2_exact_top_k,
@@ -65,6 +69,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_nearest": op7_nearest,
     "op8_licence_scan": op8_licence_scan,
+    "op9_near_duplicates": op9_near_duplicates,
 }
 ORACLE_SQL = {
     "op1_mix_sources": mixing.SQL,
