@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, licences, mixing, neardup, secret_scan, sentencepieces, topk
-from ._common import table
+from . import ann, chat, langid, licences, mixing, neardup, secret_scan, sentencepieces, topk, warc
+from ._common import fresh_path, table
 
 
 #: A parameter of what takes it; this is the installed one.
@@ -60,6 +60,12 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = fresh_path(spark, "warc")
+    warc.write_archives(warc.record_plan(table(spark, sf_dir, "pages"), least_bytes=0), archives)
+    return warc.page_records(warc.read_archives(spark, archives))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_top_k": op2_exact_top_k,
@@ -70,6 +76,7 @@ QUERIES = {
     "op7_nearest": op7_nearest,
     "op8_licence_scan": op8_licence_scan,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_warc": op10_warc,
 }
 ORACLE_SQL = {
     "op1_mix_sources": mixing.SQL,
@@ -77,4 +84,5 @@ ORACLE_SQL = {
     "op4_format_chats": chat.SQL,
     "op7_nearest": ann.SQL,
     "op8_licence_scan": licences.SQL,
+    "op10_warc": warc.SQL,
 }
