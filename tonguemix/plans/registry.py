@@ -1,10 +1,344 @@
-"""The registered queries over the driver's tables, and their SQL."""
+"""The registered queries over the driver's tables, and their SQL.
+
+documents is the labelled corpus: its lang is the language, its source the domain. Models are
+trained on all of it, with the TOP best n-grams of 1 to 4 bytes as features.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import utf8
+from ..operators import corpus, detect, matching, model, selection, tokens
+from ..sources import corpora, sinks
+from . import oracle, train
+from .shipping import ship_package
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = oracle.SQL
+_trained: dict[tuple, object] = {}
+
+
+def query(run: Query) -> Query:
+    QUERIES[run.__name__] = run
+    return run
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = corpora.from_table(table(spark, sf_dir, "documents"))
+    return documents.where(F.col("lang").isNotNull() & F.col("domain").isNotNull())
+
+
+def once(build: Callable) -> Callable:
+    """What is trained is kept for a session and a folder: a model and its features are small."""
+
+    def get(spark: SparkSession, sf_dir: str):
+        key = (build.__name__, spark.sparkContext.applicationId, sf_dir)
+        if key not in _trained:
+            _trained[key] = build(spark, sf_dir)
+        return _trained[key]
+
+    return get
+
+
+def hexed(df: DataFrame) -> DataFrame:
+    return df.withColumn("term", F.hex("term"))
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@once
+def trained(spark: SparkSession, sf_dir: str) -> model.Model:
+    return train.train(items(spark, sf_dir), train.Settings(tokens.NGrams(1, 4), count=oracle.TOP))
+
+
+@once
+def detectors(spark: SparkSession, sf_dir: str) -> dict[int, detect.Detector]:
+    one = trained(spark, sf_dir).detector()
+    return {order: detect.Detector(one.features, one.ilf, one.prototypes, one.langs, 5, order) for order in (1, 2, 3)}
+
+
+def counts(spark: SparkSession, sf_dir: str, by: str = "lang", tokenizer: tokens.Tokenizer = tokens.NGrams(1, 4)) -> DataFrame:
+    return tokens.term_counts(items(spark, sf_dir), tokenizer, by)
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trained(spark, sf_dir).features
+
+
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = corpus.index_corpus(items(spark, sf_dir))
+    return matching.class_totals(index.items, features(spark, sf_dir))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.query_vectors(matching.document_features(items(spark, sf_dir), features(spark, sf_dir)), features(spark, sf_dir))
+
+
+def dots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = trained(spark, sf_dir)
+    return detect.dot_products(items(spark, sf_dir), vectors(spark, sf_dir), m.prototypes, m.langs)
+
+
+def named(df: DataFrame, spark: SparkSession, sf_dir: str, **columns: str) -> DataFrame:
+    """Ids of languages (new name = column) as names."""
+    for new, old in columns.items():
+        langs = trained(spark, sf_dir).langs.select(F.col("lang_id").alias(old), F.col("lang").alias(new))
+        df = df.join(F.broadcast(langs), old)  # a row for each language of the model
+    return df
+
+
+def toxic(spark: SparkSession, sf_dir: str) -> corpus.CorpusIndex:
+    flagged = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    return corpus.index_corpus(items(spark, sf_dir).join(flagged, "doc_id"), min_domain=oracle.LEAST_DOMAINS)
+
+
+def given(spark: SparkSession, sf_dir: str) -> corpus.CorpusIndex:
+    return corpus.index_corpus(items(spark, sf_dir), langs=oracle.GIVEN_LANGS, domains=oracle.GIVEN_DOMAINS)
+
+
+@query
+def corpus_items(spark, sf_dir):
+    return corpus.index_corpus(items(spark, sf_dir)).items.select("doc_id", "domain", "lang", "domain_id", "lang_id")
+
+
+@query
+def lang_index(spark, sf_dir):
+    return corpus.index_corpus(items(spark, sf_dir)).lang_index
+
+
+@query
+def domain_index(spark, sf_dir):
+    return corpus.index_corpus(items(spark, sf_dir)).domain_index
+
+
+@query
+def coverage(spark, sf_dir):
+    return corpus.coverage(items(spark, sf_dir))
+
+
+@query
+def min_domain_prune(spark, sf_dir):
+    return toxic(spark, sf_dir).items.select("doc_id", "domain", "lang", "lang_id")
+
+
+@query
+def min_domain_index(spark, sf_dir):
+    return toxic(spark, sf_dir).domain_index
+
+
+@query
+def allow_list(spark, sf_dir):
+    return given(spark, sf_dir).items.select("doc_id", "domain", "lang", "domain_id", "lang_id")
+
+
+@query
+def allow_list_langs(spark, sf_dir):
+    return given(spark, sf_dir).lang_index
+
+
+@query
+def allow_list_domains(spark, sf_dir):
+    return given(spark, sf_dir).domain_index
+
+
+@query
+def onehot_classmap(spark, sf_dir):
+    return corpus.class_map(items(spark, sf_dir), "lang", ["de", "en", "es", "fr"])
+
+
+@query
+def sample_corpus(spark, sf_dir):
+    return corpus.sample_items(items(spark, sf_dir), 0.5, seed=7).select("doc_id", "domain", "lang")
+
+
+@query
+def byte_count(spark, sf_dir):
+    return tokens.byte_count(items(spark, sf_dir))
+
+
+@query
+def ngram_terms(spark, sf_dir):
+    return hexed(counts(spark, sf_dir))
+
+
+@query
+def ngram_term_domain(spark, sf_dir):
+    return hexed(counts(spark, sf_dir, "domain"))
+
+
+@query
+def prager_terms(spark, sf_dir):
+    return hexed(counts(spark, sf_dir, tokenizer=tokens.Prager(4)))
+
+
+@query
+def prager_word_terms(spark, sf_dir):
+    return hexed(counts(spark, sf_dir, tokenizer=tokens.Prager(4, use_words=True)))
+
+
+@query
+def sampled_terms(spark, sf_dir):
+    return hexed(tokens.term_counts(tokens.sampled(items(spark, sf_dir), oracle.SAMPLE, oracle.SAMPLES, seed=0), tokens.NGrams(1, 4)))
+
+
+@query
+def scanner_terms(spark, sf_dir):
+    scanner = tokens.Scanner(matching.feature_list(features(spark, sf_dir)))
+    return hexed(counts(spark, sf_dir, tokenizer=scanner))
+
+
+@query
+def lang_freq(spark, sf_dir):
+    return hexed(selection.language_frequency(counts(spark, sf_dir)))
+
+
+@query
+def prager_select_k(spark, sf_dir):
+    return hexed(selection.select_by_threshold(counts(spark, sf_dir), oracle.K))
+
+
+@query
+def tfilf_topn(spark, sf_dir):
+    return rounded(hexed(selection.select_top(counts(spark, sf_dir), oracle.TOP)), "score")
+
+
+@query
+def selection_stats(spark, sf_dir):
+    found = counts(spark, sf_dir)
+    return rounded(selection.selection_stats(found, selection.select_top(found, oracle.TOP)), "share")
+
+
+@query
+def doc_feature_tf(spark, sf_dir):
+    return matching.document_features(items(spark, sf_dir), features(spark, sf_dir))
+
+
+@query
+def ftc(spark, sf_dir):
+    return totals(spark, sf_dir)
+
+
+@query
+def ilf(spark, sf_dir):
+    return rounded(hexed(model.inverse_language_frequency(features(spark, sf_dir).select("feature_id", "term"), totals(spark, sf_dir))), "ilf").select("feature_id", "term", "lf", "ilf")
+
+
+@query
+def unused_langs(spark, sf_dir):
+    langs = trained(spark, sf_dir).langs.select("lang_id", "lang")
+    return model.unused_languages(langs.unionByName(spark.range(1).select(F.lit(99).alias("lang_id"), F.lit("none").alias("lang"))), totals(spark, sf_dir))
+
+
+@query
+def prototypes(spark, sf_dir):
+    return rounded(trained(spark, sf_dir).prototypes, "w")
+
+
+@query
+def gram(spark, sf_dir):
+    return rounded(trained(spark, sf_dir).gram(), "dot")
+
+
+@query
+def query_vectors(spark, sf_dir):
+    return rounded(vectors(spark, sf_dir), "v")
+
+
+@query
+def dot_products(spark, sf_dir):
+    return rounded(dots(spark, sf_dir), "dot")
+
+
+@query
+def cosine_score(spark, sf_dir):
+    scored = detect.score(items(spark, sf_dir), detectors(spark, sf_dir)[1])
+    return rounded(scored.select("doc_id", F.explode("score").alias("lang", "score")), "score")
+
+
+@query
+def topn_candidates(spark, sf_dir):
+    return rounded(detect.candidates(dots(spark, sf_dir), 3), "dot")
+
+
+@query
+def detect_mono(spark, sf_dir):
+    found = detect.detect(items(spark, sf_dir), detectors(spark, sf_dir)[1])
+    return rounded(found.select("doc_id", F.get(F.map_keys("langs"), F.lit(0)).alias("lang"), "score", "has_features"), "score")
+
+
+@query
+def bilingual_candidates(spark, sf_dir):
+    found = detect.pairs(detect.candidates(dots(spark, sf_dir), 5), trained(spark, sf_dir).gram()).where(F.least("a", 1 - F.col("a")) > float(oracle.CLEAR))
+    return rounded(named(found, spark, sf_dir, lang1="l1", lang2="l2").select("doc_id", "lang1", "lang2", "a", "score"), "a", "score")
+
+
+@query
+def trilingual_candidates(spark, sf_dir):
+    found = detect.triples(detect.candidates(dots(spark, sf_dir), 5), trained(spark, sf_dir).gram()).where(F.least("a", "b", 1 - F.col("a") - F.col("b")) > float(oracle.CLEAR))
+    return rounded(named(found, spark, sf_dir, lang1="l1", lang2="l2", lang3="l3").select("doc_id", "lang1", "lang2", "lang3", "a", "b", "score"), "a", "b", "score")
+
+
+def mixes(spark: SparkSession, sf_dir: str, texts: DataFrame, order: int) -> DataFrame:
+    return rounded(detect.shares(detect.detect(texts, detectors(spark, sf_dir)[order])), "weight")
+
+
+@query
+def detect_bi(spark, sf_dir):
+    return mixes(spark, sf_dir, items(spark, sf_dir), 2)
+
+
+@query
+def detect_tri(spark, sf_dir):
+    return mixes(spark, sf_dir, items(spark, sf_dir), 3)
+
+
+@query
+def detect_relational(spark, sf_dir):
+    """The same as detect_tri, in the relational form."""
+    best = detect.best_mixes(dots(spark, sf_dir), trained(spark, sf_dir).gram(), 5, 3)
+    return rounded(named(best, spark, sf_dir, lang="lang_id").select("doc_id", "lang", "weight"), "weight")
+
+
+@query
+def detect_lines(spark, sf_dir):
+    lines = corpora.lines_of(table(spark, sf_dir, "documents"))
+    return mixes(spark, sf_dir, lines.select(F.concat_ws(":", "doc_id", "line").alias("doc_id"), "data"), 1)
+
+
+@query
+def detect_conversations(spark, sf_dir):
+    said = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), utf8(F.col("text")).alias("data"))
+    return mixes(spark, sf_dir, said, 2)
+
+
+@query
+def detect_pages(spark, sf_dir):
+    return mixes(spark, sf_dir, table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), utf8(F.col("html")).alias("data")), 2)
+
+
+@query
+def detect_benchmark(spark, sf_dir):
+    return mixes(spark, sf_dir, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), utf8(F.col("text")).alias("data")), 2)
+
+
+@query
+def detect_json(spark, sf_dir):
+    return sinks.json_lines(detect.detect(items(spark, sf_dir), detectors(spark, sf_dir)[1]), "langs")
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+@query
+def accuracy_confusion(spark, sf_dir):
+    found = detect.detect(items(spark, sf_dir), detectors(spark, sf_dir)[1]).select("doc_id", F.get(F.map_keys("langs"), F.lit(0)).alias("detected"))
+    return found.join(items(spark, sf_dir).select("doc_id", "lang"), "doc_id").groupBy("lang", "detected").agg(F.count("*").alias("n"))
