@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonguemix.llm import langid, mixing, neardup, secret_scan, sentencepieces
-from tonguemix.llm._common import ship_package, stored, table
+from tonguemix.llm._common import stored, table
+from tonguemix.plans.shipping import ship_package
 
 #: Parameters: the least language score that is kept, and the tokenizer's file.
 LEAST_LANGUAGE_SCORE = 0.1

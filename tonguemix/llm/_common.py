@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.shipping import ship_package
+
 #: Rows up to which a small table (sources, thresholds, histogram strata) is broadcast.
 BROADCAST_ROWS = 100_000
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each context: their Python need not have it installed."""
-    context, package = spark.sparkContext, Path(__file__).parent.parent
-    if any(f"/{package.name}-" in name for name in context.listFiles):
-        return
-    folder = os.path.realpath(tempfile.mkdtemp())  # the driver serves the file from here as long as it runs
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    context.addPyFile(shutil.make_archive(f"{folder}/{package.name}-{uuid.uuid4().hex}", "zip", package.parent, package.name))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
