@@ -22,7 +22,7 @@ SHINGLE = 5
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 #: Words of this many bytes of text are hashed at a time, and shingles of texts together up to this many.
-PIECE, TOGETHER = 1 << 20, 1 << 19
+PIECE, TOGETHER = 1 << 20, 1 << 18
 
 _RADIX = 0x5851F42D4C957F2D
 _INVERSE = pow(_RADIX, -1, 2**64)

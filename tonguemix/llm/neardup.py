@@ -151,22 +151,31 @@ def _star_links(edges: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFra
 def _rest_tiles(bands: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows of the tiles in which different components of a bucket of three or more still have to meet.
 
-    The bucket's largest component meets the others, and the others meet one another; both are cut
-    into parts of about SIDE rows, and there is a tile for each pair of parts.
+    In a bucket the largest component meets the others, and the others meet one another. All buckets
+    with the same largest component are taken together, so that its members come once and not once
+    for each band. Either side is cut into parts of about SIDE rows; each pair of parts is a tile.
     """
     labelled = bands.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("components")).where((F.col("components") > 1) & (F.col("all") > 2))
-    parts = mixed.select("bucket", F.col("most.component").alias("largest"), F.ceil(F.col("most.n") / SIDE).alias("large"), F.ceil((F.col("all") - F.col("most.n")) / SIDE).alias("small"))
-    rows = labelled.join(parts, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("component") == F.col("largest"), F.col("large")).otherwise(F.col("small"))))
+    most = F.max(F.struct("n", "component")).alias("most")
+    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), most, F.count("*").alias("components")).where((F.col("components") > 1) & (F.col("all") > 2))
+    mixed = mixed.select("bucket", F.col("most.component").alias("largest"), F.when(F.col("components") > 2, F.col("all") - F.col("most.n")).alias("others"))
+    rows = stored(labelled.join(mixed, "bucket"), "rest")
+    inner = rows.where(F.col("component") == F.col("largest")).select("largest", "node", "component").distinct()
+    outer = rows.where(F.col("component") != F.col("largest"))
+    met = outer.select("largest", "node", "component").distinct()
+    parts = lambda df, name: df.groupBy("largest").agg(F.ceil(F.count("*") / SIDE).alias(name))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    cell = lambda b, i, j, side: F.struct(b.alias("b"), i.alias("i"), j.alias("j"), side.alias("side"))
-    key = F.encode(F.concat(F.col("bucket").cast("string"), F.lit("x")), "UTF-8"), F.encode(F.concat(F.col("bucket").cast("string"), F.lit("y")), "UTF-8")
-    large = F.transform(upto(F.col("small")), lambda j: cell(key[0], F.col("own"), j, F.lit(0)))
-    meets_large = F.transform(upto(F.col("large")), lambda i: cell(key[0], i, F.col("own"), F.lit(1)))
-    meets_small = F.transform(upto(F.col("small")), lambda j: cell(key[1], F.least(F.col("own"), j), F.greatest(F.col("own"), j), F.when(F.col("own") == j, 2).when(F.col("own") < j, 0).otherwise(1)))
-    cells = F.explode(F.when(F.col("component") == F.col("largest"), large).otherwise(F.concat(meets_large, meets_small)))
-    dealt = rows.select("node", "component", cells.alias("c")).select(F.struct("c.b", "c.i", "c.j").alias("tile"), "c.side", "node", "component")
+    own = lambda n: F.pmod(F.xxhash64("node"), n)
+    tile = lambda b, i, j: F.struct(b.alias("b"), i.alias("i"), j.alias("j")).alias("tile")
+    sides = inner.join(parts(met, "small"), "largest").join(parts(inner, "large"), "largest").withColumn("j", F.explode(upto(F.col("small"))))
+    sides = sides.select(tile(F.col("largest"), own(F.col("large")), F.col("j")), F.lit(0).alias("side"), "node", "component")
+    meets = met.join(parts(met, "small"), "largest").join(parts(inner, "large"), "largest").withColumn("i", F.explode(upto(F.col("large"))))
+    meets = meets.select(tile(F.col("largest"), F.col("i"), own(F.col("small"))), F.lit(1).alias("side"), "node", "component")
+    among = outer.where(F.col("others").isNotNull()).withColumn("own", own(F.ceil(F.col("others") / SIDE))).withColumn("j", F.explode(upto(F.ceil(F.col("others") / SIDE))))
+    side = F.when(F.col("own") == F.col("j"), 2).when(F.col("own") < F.col("j"), 0).otherwise(1)
+    among = among.select(tile(F.encode(F.col("bucket").cast("string"), "UTF-8"), F.least("own", "j"), F.greatest("own", "j")), side.alias("side"), "node", "component")
+    dealt = sides.unionByName(meets).unionByName(among)
     return dealt.join(nodes.select("node", "signature"), "node").select("tile", "side", "node", "component", "signature")
 
 
