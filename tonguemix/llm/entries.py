@@ -82,6 +82,7 @@ ORACLE_SQL = {
     "op1_mix_sources": mixing.SQL,
     "op2_exact_top_k": topk.SQL,
     "op4_format_chats": chat.SQL,
+    "op5_secret_scan": secret_scan.SQL,
     "op7_nearest": ann.SQL,
     "op8_licence_scan": licences.SQL,
     "op10_warc": warc.SQL,

@@ -30,6 +30,10 @@ ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH, MIN_TOKEN = 6, 20, 24, 20
 ALPHABETS = (("^[0-9]+$", 10, 0.14), ("^[0-9a-f]+$|^[0-9A-F]+$", 16, 0.13), ("^[A-Z2-7]+=*$", 32, 0.068), ("^[0-9a-z]+$|^[0-9A-Z]+$", 36, 0.066), ("", 64, 0.062))
 #: Of ordinary words and names: how often the class changes between neighbours, and how vowels correlate with the next.
 CLASS_CHANGE, VOWEL_CORRELATION = 0.15, -0.35
+#: How often the class changes between random characters, by the size of the alphabet.
+RANDOM_CHANGE = {10: 0.0, 16: 0.47, 32: 0.3, 36: 0.4, 64: 0.64}
+#: The scale and coefficients of polynomial 26.2.17 of Abramowitz and Stegun.
+TAIL_SCALE, TAIL = 0.2316419, (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
 #: Each test refutes randomness at this normal score (one in a thousand); coincidences of letters vary more than a count.
 REFUTED, OVERDISPERSION = 3.09, 1.5
 #: Share of false discoveries; width and number of the bins of -log10 p.
@@ -91,10 +95,8 @@ def with_candidates(docs: DataFrame, text: str) -> DataFrame:
 
 def _upper_tail(z: Column) -> Column:
     """The normal distribution above z; polynomial 26.2.17 of Abramowitz and Stegun."""
-    # Its coefficients.
-    b = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
-    t = 1 / (1 + F.lit(0.2316419) * F.abs(z))
-    series = sum((F.lit(x) * F.pow(t, F.lit(i + 1)) for i, x in enumerate(b)), F.lit(0.0))
+    t = 1 / (1 + F.lit(TAIL_SCALE) * F.abs(z))
+    series = sum((F.lit(x) * F.pow(t, F.lit(i)) for i, x in enumerate(TAIL, 1)), F.lit(0.0))
     tail = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * series
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
@@ -113,7 +115,7 @@ def judged(token: Column) -> Column:
     uniform = 2 * (F.sqrt(agree * size * (size - 1) / 2 + 0.375) - F.sqrt(pairs + 0.375)) / OVERDISPERSION
     # Runs of one class: expected of random characters from the shares of classes in the alphabet.
     changes = F.size(F.regexp_extract_all(token, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+"), F.lit(0))) - 1.0
-    rate = F.when(letters == 10, 0.0).when(letters == 16, 0.47).when(letters == 32, 0.3).when(letters == 36, 0.4).otherwise(0.64)
+    rate = F.coalesce(*[F.when(letters == n, F.lit(x)) for n, x in RANDOM_CHANGE.items()])
     unlike_runs = F.abs(changes - rate * (size - 1)) / F.sqrt((size - 1) * F.greatest(rate * (1 - rate), F.lit(0.01)))
     runs = (changes - CLASS_CHANGE * (size - 1)) / F.sqrt((size - 1) * CLASS_CHANGE * (1 - CLASS_CHANGE))
     # Correlation of being a vowel with the next character's.
@@ -195,3 +197,70 @@ def redact(docs: DataFrame, *, text="text", n_chars: str | None = "n_chars", mas
     masked = spans.withColumn("masked", F.when(F.size("spans") == 0, F.col("text")).otherwise(F.aggregate("spans", start, step, rest)))
     new = {text: F.col("masked")} | ({n_chars: F.length("masked").cast(docs.schema[n_chars].dataType)} if n_chars in docs.columns else {})
     return masked.select([new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+def _sql() -> str:
+    """The same in DuckDB: matches and their places, the battery, the strata, and the digests of op5."""
+    d = lambda x: f"{float(x)!r}::DOUBLE"
+    folded = {w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")}  # its (?i) would fold other letters too
+    either = lambda pattern: pattern.replace("(?i:password|passwd|secret|token|api_?key)", f"(?:{'|'.join(folded.values())})").replace("'", "''")
+    wanted = ((either(ASSIGN), ASSIGN_VALUE), (ACCESS, ACCESS_LENGTH), (HEX, HEX_LENGTH), (TOKEN, MIN_TOKEN))
+    parts = " UNION ALL ".join(f"SELECT row, {rank} AS rank, {least} AS least, string_split(regexp_replace(t, '{p}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS xs FROM d" for rank, (p, least) in enumerate(wanted))
+    pick = lambda at: "CASE " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN {d(v[at])}" if p else f"ELSE {d(v[at])}" for p, *v in ALPHABETS) + " END"
+    tail = f"exp(-z * z / {d(2)}) / {d(math.sqrt(2 * math.pi))} * ({' + '.join(f'{d(b)} * pow(t, {i})' for i, b in enumerate(TAIL, 1))})"
+    rates = " ".join(f"WHEN {n} THEN {d(x)}" for n, x in RANDOM_CHANGE.items())
+    kinds = "CASE rank " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END"
+    written = f"string_agg({kinds} || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, replace(coalesce(text, ''), chr(1), '�') AS t FROM documents
+), u AS (
+  SELECT row, rank, least, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM ({parts}) WHERE len(xs) > 1
+), s AS (
+  SELECT row, rank, least, x, i, (sum(length(x)) OVER (PARTITION BY row, rank ORDER BY i))::BIGINT AS stop FROM u
+), m AS (
+  SELECT row, rank, x, stop - length(x) AS start, stop FROM s
+  WHERE i % 2 = 0 AND length(CASE WHEN rank = 0 THEN regexp_replace(x, '{either(ASSIGN_HEAD)}', '') ELSE x END) >= least
+), base AS (
+  SELECT * FROM m WHERE rank < 3
+), token AS (
+  SELECT *, length(x)::DOUBLE AS size, {pick(0)} AS letters, {pick(1)} AS agree,
+         list_sum(list_transform(list_distinct(string_split(x, '')), lambda c: (length(x) - length(replace(x, c, ''))) * (length(x) - length(replace(x, c, '')) - 1) / {d(2)}))::DOUBLE AS pairs,
+         (len(regexp_extract_all(x, '[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+')) - 1)::DOUBLE AS changes, (length(x) - length(regexp_replace(x, '[aeiouAEIOU]', '', 'g')))::DOUBLE AS vowels,
+         len(regexp_extract_all(x, '[aeiouAEIOU]+'))::DOUBLE AS vowel_runs
+  FROM m WHERE rank = 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = m.row AND b.start < m.stop AND m.start < b.stop)
+), a AS (
+  SELECT *, (2 * pairs + size) * letters / size - size AS chi, {d(2)} / (9 * (letters - 1)) AS spread, vowels / size AS mean,
+         CASE letters {rates} END AS rate, vowels > 0 AND vowels < size AS known
+  FROM token
+), c AS (
+  SELECT *, CASE WHEN known THEN ((vowels - vowel_runs) / (size - 1) - mean * mean) / (mean * (1 - mean)) ELSE {d(0)} END AS correlation FROM a
+), z AS (
+  SELECT *, (pow(greatest(chi, {d(0)}) / (letters - 1), {d(1 / 3)}) - (1 - spread)) / sqrt(spread) > {d(REFUTED)}
+           OR abs(changes - rate * (size - 1)) / sqrt((size - 1) * greatest(rate * (1 - rate), {d(0.01)})) > {d(REFUTED)} OR abs(correlation) * sqrt(size) > {d(REFUTED)} AS refuted,
+         (2 * (sqrt(agree * size * (size - 1) / 2 + {d(0.375)}) - sqrt(pairs + {d(0.375)})) / {d(OVERDISPERSION)}
+           + (changes - {d(CLASS_CHANGE)} * (size - 1)) / sqrt((size - 1) * {d(CLASS_CHANGE)} * {d(1 - CLASS_CHANGE)})
+           + least(CASE WHEN known THEN (correlation - {d(VOWEL_CORRELATION)}) * sqrt(size) ELSE {d(0)} END, {d(3)})) / {d(math.sqrt(3))} AS z
+  FROM c
+), q AS (
+  SELECT row, rank, start, stop, floor(log2(size))::INT AS stratum, refuted, z, 1 / (1 + {d(TAIL_SCALE)} * abs(z)) AS t FROM z
+), j AS (
+  SELECT *, CASE WHEN refuted THEN -1 ELSE greatest(least(floor(-log10(greatest(CASE WHEN z >= 0 THEN {tail} ELSE 1 - {tail} END, {d(1e-300)})) / {d(BIN)}), {BINS}), 0) END::INT AS bin FROM q
+), h AS (
+  SELECT stratum, bin, count(*) AS n FROM j GROUP BY stratum, bin
+), b AS (
+  SELECT stratum, bin, sum(n) OVER (PARTITION BY stratum ORDER BY bin DESC) AS found, sum(n) OVER (PARTITION BY stratum) AS tested FROM h
+), l AS (
+  SELECT stratum, min(bin) AS least FROM b WHERE bin > 0 AND pow({d(10)}, -bin * {d(BIN)}) <= {d(FALSE_DISCOVERIES)} * found / tested GROUP BY stratum
+), f AS (
+  SELECT row, rank, start, stop FROM base UNION ALL SELECT row, rank, start, stop FROM j JOIN l USING (stratum) WHERE bin >= least
+), g AS (
+  SELECT row, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+         {written} FILTER (rank < 3) AS base, {written} AS spans FROM f GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (row)
+"""
+
+
+SQL = _sql()
