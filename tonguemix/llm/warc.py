@@ -162,8 +162,12 @@ def _exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _entries(nodes: DataFrame) -> DataFrame:
-    """path, at, start: where the chain from the start of each file enters each split; by pointer jumping."""
+    """path, at, entry, next: where the chain from the start of each file enters each split; by pointer jumping.
+
+    Stored candidates are far smaller on disk than as rows, so Spark is kept from broadcasting them.
+    """
     reached = stored(nodes.where(F.col("start") == 0).select("path", "start"), "warc-reached")
+    nodes = nodes.hint("merge")
     stride = nodes.select("path", "start", "next")
     n = reached.count()
     while True:
@@ -173,7 +177,7 @@ def _entries(nodes: DataFrame) -> DataFrame:
         if n == last:
             return reached.join(nodes, ["path", "start"]).select("path", "at", F.col("start").alias("entry"), "next")
         far = stride.select("path", F.col("start").alias("next"), F.col("next").alias("far"))
-        stride = stored(stride.join(far, ["path", "next"]).select("path", "start", F.col("far").alias("next")), "warc-stride")
+        stride = stored(stride.join(far, ["path", "next"]).select("path", "start", F.col("far").alias("next")), "warc-stride").hint("merge")
 
 
 _PARTS = "path string, start bigint, head boolean, whole boolean, bytes binary"
@@ -256,7 +260,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     splits = stored(_segments(archives).select("path", "at", "bytes").mapInArrow(_candidates, f"path string, at bigint, length bigint, starts {longs}, successors {longs}"), "warc-splits")
     before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     bases = stored(splits.select("path", "at", "length").withColumn("base", F.coalesce(F.sum("length").over(before), F.lit(0))), "warc-bases")
-    chained = splits.select("path", "at", "starts", "successors").join(bases, ["path", "at"]).select("path", "at", "base", "length", "starts", "successors")
+    chained = splits.hint("merge").select("path", "at", "starts", "successors").join(bases, ["path", "at"]).select("path", "at", "base", "length", "starts", "successors")
     nodes = stored(chained.mapInArrow(_exits, "path string, at bigint, start bigint, next bigint"), "warc-nodes")
     entries = bases.join(_entries(nodes), ["path", "at"], "left")
     entries = stored(entries, "warc-entries")
