@@ -215,7 +215,8 @@ def near_duplicate_classes(docs: DataFrame, *, doc_id="doc_id", text="text") ->
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed, labels = _classes(chosen)
     own = signed.where(F.col("signature").isNotNull()).join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    names = own.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    # Stored, so that the join deals out its rows anew and a class with very many of them can be split.
+    names = stored(own.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
     alone = signed.where(F.col("signature").isNull()).select("doc_id").unionByName(chosen.where(F.col("text").isNull()).select("doc_id"))
     return own.join(names, "component").select("doc_id", "class_id", "class_size").unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
 
