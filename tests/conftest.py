@@ -1,6 +1,8 @@
+import math
 import os
 import sys
 
+import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
@@ -22,3 +24,29 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+def _plain(value):
+    if isinstance(value, float):
+        return "nan" if math.isnan(value) else float(f"{value:.9g}")
+    return bytes(value) if isinstance(value, (bytes, bytearray)) else value
+
+
+@pytest.fixture(scope="session")
+def same_as_sql(spark):
+    """Whether a query and its SQL give the same columns and rows on the smallest tables."""
+    db = duckdb.connect()
+    for name in os.listdir(SF):
+        db.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM read_parquet('{SF}/{name}')")
+
+    def same(query, sql):
+        df = query(spark, SF)
+        columns = sorted(df.columns)
+        result = db.execute(sql)
+        names = [d[0] for d in result.description]
+        assert sorted(names) == columns
+        want = sorted((tuple(_plain(r[names.index(c)]) for c in columns) for r in result.fetchall()), key=repr)
+        got = sorted((tuple(_plain(r[c]) for c in columns) for r in df.collect()), key=repr)
+        assert got == want
+
+    return same

@@ -11,7 +11,7 @@ import logging
 import os
 import sys
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.corpus import index_corpus
@@ -46,8 +46,7 @@ def indexed(spark: SparkSession, model: str) -> DataFrame:
     paths = corpora.read_index(spark, f"{model}/paths", corpora.PATHS)
     listed = [r.path for r in paths.select("path").collect()]  # the reader takes the list of its files
     files = spark.read.format("binaryFile").load(listed).select(F.regexp_replace("path", "^file:", "").alias("path"), F.col("content").alias("data"))
-    numbered = paths.withColumn("doc_id", F.row_number().over(Window.orderBy("path")) - 1)
-    return numbered.join(files, "path")
+    return paths.withColumn("doc_id", F.col("path")).join(files, "path")
 
 
 def c_index(args: argparse.Namespace) -> None:

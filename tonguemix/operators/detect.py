@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,6 +135,16 @@ def score(items: DataFrame, detector: Detector) -> DataFrame:
     return _by_text(items, "score map<string,double>", columns)
 
 
+def detect_udf(detector: Detector):
+    """A function of a string or binary column that gives the map of shares; may be registered for SQL."""
+
+    @F.pandas_udf("map<string,double>")
+    def languages(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: detector.detect(b"" if t is None else t))
+
+    return languages
+
+
 def shares(detected: DataFrame) -> DataFrame:
     """doc_id, lang, weight: the long form of detect()."""
     return detected.select("doc_id", F.explode("langs").alias("lang", "weight"))

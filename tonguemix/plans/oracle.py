@@ -36,9 +36,11 @@ FEATURES = "features AS (SELECT term, (row_number() OVER (ORDER BY term) - 1)::I
 TRAINING = [DOC, LANGS, grams("doc"), counted("lang"), SCORED, TOP_TERMS, FEATURES]
 FTC = "ftc AS (SELECT feature_id, lang_id, count(*) AS n FROM doc_occ JOIN features USING (term) JOIN langs USING (lang) GROUP BY feature_id, lang_id)"
 ILF = "ilf AS (SELECT f.feature_id, f.term, coalesce(lf, 0)::BIGINT AS lf, CASE WHEN coalesce(lf, 0) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE / lf END AS ilf FROM features f LEFT JOIN (SELECT feature_id, count(*) AS lf FROM ftc GROUP BY feature_id) USING (feature_id))"
-PROTOTYPES = """raw AS (SELECT lang_id, feature_id, n * ilf AS raw FROM ftc JOIN ilf USING (feature_id)),
+#: Languages in which a feature occurs, with ids that have no gaps; what follows knows only these.
+PROTOTYPES = """used AS (SELECT lang, lang_id AS old_id, (row_number() OVER (ORDER BY lang_id) - 1)::INT AS lang_id FROM langs WHERE lang_id IN (SELECT lang_id FROM ftc)),
+raw AS (SELECT used.lang_id, feature_id, n * ilf AS raw FROM ftc JOIN used ON ftc.lang_id = old_id JOIN ilf USING (feature_id)),
 prototypes AS (SELECT lang_id, feature_id, raw / sqrt(sum(raw * raw) OVER (PARTITION BY lang_id)) AS w FROM raw)"""
-GRAM = """gramm AS (SELECT a.lang_id AS l1, b.lang_id AS l2, coalesce(dot, 0.0::DOUBLE) AS dot FROM langs a CROSS JOIN langs b
+GRAM = """gramm AS (SELECT a.lang_id AS l1, b.lang_id AS l2, coalesce(dot, 0.0::DOUBLE) AS dot FROM used a CROSS JOIN used b
   LEFT JOIN (SELECT p.lang_id AS l1, q.lang_id AS l2, sum(p.w * q.w) AS dot FROM prototypes p JOIN prototypes q USING (feature_id) GROUP BY p.lang_id, q.lang_id) d ON d.l1 = a.lang_id AND d.l2 = b.lang_id)"""
 MODEL = [*TRAINING, FTC, ILF, PROTOTYPES, GRAM]
 
@@ -49,7 +51,7 @@ def detection(name: str, order: int, topn: int = 5) -> list[str]:
         f"tf AS (SELECT key, feature_id, count(*) AS tf FROM {name}_occ JOIN features USING (term) GROUP BY key, feature_id)",
         "vectors AS (SELECT key, feature_id, tf * ilf AS v FROM tf JOIN ilf USING (feature_id))",
         "norms AS (SELECT key, sqrt(sum(v * v)) AS norm FROM vectors GROUP BY key)",
-        f"""dots AS (SELECT k.key, l.lang_id, l.lang, coalesce(dot, 0.0::DOUBLE) AS dot FROM (SELECT DISTINCT key FROM {name}) k CROSS JOIN langs l
+        f"""dots AS (SELECT k.key, l.lang_id, l.lang, coalesce(dot, 0.0::DOUBLE) AS dot FROM (SELECT DISTINCT key FROM {name}) k CROSS JOIN used l
   LEFT JOIN (SELECT key, lang_id, sum(v * w) AS dot FROM vectors JOIN prototypes USING (feature_id) GROUP BY key, lang_id) d ON d.key = k.key AND d.lang_id = l.lang_id)""",
         f"cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY dot DESC, lang_id DESC) AS rank FROM dots) WHERE rank <= {topn})",
         "mixes1 AS (SELECT key, 1 AS ord, rank AS r1, 0 AS r2, 0 AS r3, dot AS score, [lang] AS ls, [1.0::DOUBLE] AS ws FROM cand WHERE rank = 1)",

@@ -237,7 +237,7 @@ def ilf(spark, sf_dir):
 
 @query
 def unused_langs(spark, sf_dir):
-    langs = trained(spark, sf_dir).langs.select("lang_id", "lang")
+    langs = corpus.index_corpus(items(spark, sf_dir)).lang_index.select("lang_id", "lang")
     return model.unused_languages(langs.unionByName(spark.range(1).select(F.lit(99).alias("lang_id"), F.lit("none").alias("lang"))), totals(spark, sf_dir))
 
 

@@ -9,11 +9,10 @@ from ..functions.text import utf8
 
 
 def _placed(files: DataFrame, path: Column) -> DataFrame:
-    """doc_id, domain, lang, path, data: names from the last directories of the path; ids in order of path."""
+    """doc_id (the path), domain, lang, path, data: names are the last directories of the path."""
     parts = F.split(path, "/")
-    named = files.select(path.alias("path"), F.coalesce(F.get(parts, F.size(parts) - 3), F.lit("")).alias("domain"), F.coalesce(F.get(parts, F.size(parts) - 2), F.lit("")).alias("lang"), F.col("content").alias("data"))
-    ids = named.select("path").withColumn("doc_id", F.row_number().over(Window.orderBy("path")).cast("long") - 1)
-    return named.join(ids, "path").select("doc_id", "domain", "lang", "path", "data")
+    above = lambda n: F.coalesce(F.get(parts, F.size(parts) - n), F.lit(""))
+    return files.select(path.alias("doc_id"), above(3).alias("domain"), above(2).alias("lang"), path.alias("path"), F.col("content").alias("data"))
 
 
 def read_directory(spark: SparkSession, root: str) -> DataFrame:
@@ -26,7 +25,7 @@ def read_path_list(spark: SparkSession, listing: str) -> DataFrame:
     """The files whose paths a text file lists, one on a line; blank lines name none."""
     listed = [r.path for r in spark.read.text(listing).select(F.trim("value").alias("path")).where("path <> ''").collect()]  # file names, as many as a reader is given
     if not listed:
-        return spark.createDataFrame([], "doc_id long, domain string, lang string, path string, data binary")
+        return spark.createDataFrame([], "doc_id string, domain string, lang string, path string, data binary")
     return _placed(spark.read.format("binaryFile").load(listed), F.regexp_replace("path", "^file:", ""))
 
 
