@@ -179,20 +179,32 @@ def _rest_tiles(bands: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFr
     return dealt.join(nodes.select("node", "signature"), "node").select("tile", "side", "node", "component", "signature")
 
 
+def _by_text(signed: DataFrame) -> DataFrame:
+    """node, signature, n (rows with the text), best (last, doc_id, times: its smallest id, null last, and how often).
+
+    Summed first by text and id, so a text with very many copies is spread.
+    """
+    by_id = signed.groupBy("node", "doc_id").agg(F.first("signature").alias("signature"), F.count("*").alias("times"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "times")).alias("best")
+    return by_id.groupBy("node").agg(F.first("signature").alias("signature"), F.sum("times").alias("n"), best)
+
+
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs: doc_id, text. -> (signed: doc_id, node, signature), (labels: node, component, of the nodes that have links)."""
+    """docs: doc_id, text. -> (signed: doc_id, node, signature), (texts with words: node, component, n, best)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.where(F.col("text").isNotNull()).withColumn("node", _node(F.col("text")))
     signed = stored(keyed.select("doc_id", "node", "text").mapInArrow(_signed, f"doc_id {kind}, node binary, signature binary"), "signatures")
-    nodes = stored(signed.where(F.col("signature").isNotNull()).select("node", "signature").dropDuplicates(["node"]), "nodes")
+    nodes = stored(_by_text(signed.where(F.col("signature").isNotNull())), "nodes")
     width = 4 * dart.ROWS
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring(F.col("signature"), i * width + 1, width)) for i in range(dart.BANDS)])
     banded = nodes.select("node", F.explode(keys).alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
     bands = stored(banded.join(shared.select("bucket", "first", "n"), "bucket").select("bucket", "node", "first", "n"), "bands")
     edges = bands.where(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    texts = keyed.select("node", "text").join(bands.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    texts = stored(texts, "texts")
+    # Of copies the row that stands for them is looked for by its id too, so they are spread.
+    wanted = bands.select("node").distinct().join(nodes, "node").select(F.col("node").alias("at"), F.col("best.doc_id").alias("of"))
+    texts = keyed.join(wanted, (F.col("node") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    texts = stored(texts.select("node", "text").dropDuplicates(["node"]), "texts")
     links = stored(_star_links(edges, nodes, texts), "links")
     labels = connected_components(links)
     tiles = _rest_tiles(bands.where(F.col("n") > 2).select("bucket", "node"), labels, nodes)
@@ -200,7 +212,8 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     more = stored(_exact(hopeful, texts), "links")
     if more.limit(1).count():
         labels = connected_components(links.unionByName(more).unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    return signed, labels
+    grouped = nodes.select("node", "n", "best").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return signed, stored(grouped, "by-text")
 
 
 def near_duplicate_classes(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
@@ -213,12 +226,14 @@ def near_duplicate_classes(docs: DataFrame, *, doc_id="doc_id", text="text") ->
     has a null name; an empty table gives no rows.
     """
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    signed, labels = _classes(chosen)
-    own = signed.where(F.col("signature").isNotNull()).join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    # Stored, so that the join deals out its rows anew and a class with very many of them can be split.
-    names = stored(own.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
+    signed, texts = _classes(chosen)
+    first = F.min(F.struct("best.last", "best.doc_id")).alias("first")
+    # Stored, so that the join deals out its rows anew and a class with very many texts can be split.
+    names = stored(texts.groupBy("component").agg(first, F.sum("n").alias("class_size")), "classes")
+    classes = texts.join(names, "component").select("node", F.col("first.doc_id").alias("class_id"), "class_size")
+    own = signed.where(F.col("signature").isNotNull()).select("doc_id", "node")
     alone = signed.where(F.col("signature").isNull()).select("doc_id").unionByName(chosen.where(F.col("text").isNull()).select("doc_id"))
-    return own.join(names, "component").select("doc_id", "class_id", "class_size").unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
+    return own.join(classes, "node").select("doc_id", "class_id", "class_size").unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
 
 
 def keep_one_of_each(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
@@ -227,15 +242,14 @@ def keep_one_of_each(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFr
     Rows whose text is null or has no words all stay.
     """
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    signed, labels = _classes(chosen)
-    own = signed.where(F.col("signature").isNotNull()).join(labels, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
-    best = own.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("best")).select("best.doc_id", "best.node")
-    repeats = own.groupBy("doc_id", "node").agg(F.count("*").alias("times")).select(F.col("doc_id").alias("of"), F.col("node").alias("at"), "times")
-    best = stored(best.join(repeats, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("node") == F.col("at"))).select("of", "at", "times"), "kept")
+    _, texts = _classes(chosen)
+    best = F.min(F.struct("best.last", "best.doc_id", "node", "best.times")).alias("best")
+    best = stored(texts.groupBy("component").agg(best).select(F.col("best.doc_id").alias("of"), F.col("best.node").alias("at"), "best.times"), "kept")
     mine = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(mine, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _node(F.col(text)).alias("node"))
-    worded = keyed.where(F.col("text").rlike(r"[^\s\x1c-\x1f\x85\xa0\p{Z}]"))
-    joined = worded.join(best, (F.col("node") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("of")))
-    rest = keyed.where(~F.coalesce(F.col("text").rlike(r"[^\s\x1c-\x1f\x85\xa0\p{Z}]"), F.lit(False)))
-    once = joined.where(F.col("times") == 1).select("row").unionByName(joined.where(F.col("times") > 1).dropDuplicates(["node", "doc_id"]).select("row")).unionByName(rest.select("row"))
+    has_words = F.coalesce(F.col("text").rlike(r"[^\s\x1c-\x1f\x85\xa0\p{Z}]"), F.lit(False))
+    joined = keyed.where(has_words).join(best, (F.col("node") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    once = keyed.where(~has_words).select("row").unionByName(joined.where(F.col("times") == 1).select("row"))
+    if best.where(F.col("times") > 1).limit(1).count():  # rows that repeat both id and text
+        once = once.unionByName(joined.where(F.col("times") > 1).dropDuplicates(["node", "doc_id"]).select("row"))
     return once.select([F.col("row").getField(c).alias(c) for c in docs.columns])
