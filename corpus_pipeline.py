@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonguemix.llm import langid, mixing, neardup, secret_scan, sentencepieces
-from tonguemix.llm._common import stored, table
-from tonguemix.plans.shipping import ship_package
+from tonguemix.llm._common import prepare, stored, table
 
 #: Parameters: the least language score that is kept, and the tokenizer's file.
 LEAST_LANGUAGE_SCORE = 0.1
@@ -25,14 +24,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The filters are learned from a bounded sample of the labelled rows of docs (see langid.train).
     """
-    ship_package(spark)
+    prepare(spark)
     filters = langid.train(docs, F.col("doc_id").isNotNull() & ~langid.is_held_out(F.col("doc_id")))
     return langid.keep_identified(docs, filters, least=LEAST_LANGUAGE_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: that of the smallest doc_id."""
-    ship_package(spark)
+    prepare(spark)
     return neardup.keep_one_of_each(docs)
 
 
@@ -48,7 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and digests of each document; what the ids decode to is under decoded_sha256."""
-    ship_package(spark)
+    prepare(spark)
     return sentencepieces.round_trip_digests(docs, sentencepieces.model_bytes(PIECE_MODEL), keep_ids=True)
 
 
