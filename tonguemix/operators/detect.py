@@ -178,11 +178,16 @@ def candidates(dots: DataFrame, topn: int) -> DataFrame:
 
 
 def _combined(top: DataFrame, gram: DataFrame, order: int) -> DataFrame:
-    """Columns l1.., d1.., r1.. of each combination of candidates, and g12, g13, g23."""
-    one = lambda i: top.select("doc_id", F.col("lang_id").alias(f"l{i}"), F.col("dot").alias(f"d{i}"), F.col("rank").alias(f"r{i}"))
-    out = one(1)
-    for i in range(2, order + 1):
-        out = out.join(one(i), "doc_id").where(F.col(f"r{i - 1}") < F.col(f"r{i}"))
+    """Columns l1.., d1.., r1.. of each combination of candidates, and g12, g13, g23.
+
+    A document's few candidates meet in an array, dealt as their ranking was, so nothing is shuffled again.
+    """
+    lists = top.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "lang_id", "dot"))).alias("c"))
+    for i in range(1, order + 1):
+        last = F.col(f"r{i - 1}") if i > 1 else F.lit(0)
+        later = F.filter("c", lambda x: x["rank"] > last)  # noqa: B023  made at once, in this turn
+        lists = lists.select("*", F.explode(later).alias("x")).select(*lists.columns, F.col("x.rank").alias(f"r{i}"), F.col("x.lang_id").alias(f"l{i}"), F.col("x.dot").alias(f"d{i}"))
+    out = lists.drop("c")
     for i, j in combinations(range(1, order + 1), 2):
         out = out.join(F.broadcast(gram.select(F.col("l1").alias(f"l{i}"), F.col("l2").alias(f"l{j}"), F.col("dot").alias(f"g{i}{j}"))), [f"l{i}", f"l{j}"])
     return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -54,6 +54,7 @@ class Model:
     features: DataFrame
     prototypes: DataFrame
     langs: DataFrame
+    _gram: DataFrame | None = field(default=None, repr=False)
 
     def save(self, path: str) -> None:
         for name in ("features", "prototypes", "langs"):
@@ -64,7 +65,10 @@ class Model:
         return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("features", "prototypes", "langs")])
 
     def gram(self) -> DataFrame:
-        return gram(self.prototypes)
+        """Inner products of all pairs of languages: small, and looked up for each combination, so kept in memory."""
+        if self._gram is None:
+            self._gram = gram(self.prototypes).persist()
+        return self._gram
 
     def detector(self, topn: int = 5, max_order: int = 1) -> Detector:
         """The model as arrays, for tasks that detect row by row: features by languages numbers."""
