@@ -41,9 +41,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, so lost executors cost no rerun."""
+def stored(df: DataFrame, name: str, *, few: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: its lineage ends there, so lost executors cost no rerun.
+
+    few is for tables of ids and links, which are small beside the texts: four files for each core of
+    the cluster at most, not one for each partition of the shuffle before, most of which are tiny.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    out = df.coalesce(4 * spark.sparkContext.defaultParallelism) if few else df
+    out.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

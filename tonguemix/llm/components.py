@@ -16,14 +16,14 @@ def connected_components(links: DataFrame) -> DataFrame:
     rounds. Labels are summed up before they are shuffled, so a node with very many links does not
     gather them; what a round ends with is a stored table.
     """
-    both = stored(links.select("a", "b").union(links.select("b", "a")).where(F.col("a") != F.col("b")).distinct(), "links")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component")), "labels")
+    both = stored(links.select("a", "b").union(links.select("b", "a")).where(F.col("a") != F.col("b")).distinct(), "links", few=True)
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component")), "labels", few=True)
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
         nearer = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
         roots = nearer.select(F.col("node").alias("at"), F.col("mid").alias("root"))
         new = nearer.join(roots, F.col("mid") == F.col("at"), "left").select("node", "old", F.least("mid", "root").alias("component"))
-        new = stored(new, "labels")
+        new = stored(new, "labels", few=True)
         labels = new.select("node", "component")
         if new.where(F.col("old") != F.col("component")).limit(1).count() == 0:
             return labels

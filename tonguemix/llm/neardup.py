@@ -139,9 +139,9 @@ def _star_links(edges: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFra
     """edges: a, b (the first node of a bucket). -> those that are links."""
     signature = lambda name, as_: nodes.select(F.col("node").alias(name), F.col("signature").alias(as_))
     shares = edges.join(signature("a", "left"), "a").join(signature("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(_agreement, "a binary, b binary, share double")
-    shares = stored(shares.where(F.col("share") >= REFUSED), "shares")
+    shares = stored(shares.where(F.col("share") >= REFUSED), "shares", few=True)
     close = shares.where(F.col("share") < ACCEPTED).select("a", "b")
-    sizes = close.groupBy("b").agg(F.ceil(F.count("*") / SIDE).alias("parts"))
+    sizes = stored(close.groupBy("b").agg(F.ceil(F.count("*") / SIDE).alias("parts")), "sizes", few=True)
     members = close.join(sizes, "b").select(F.struct("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("i"), F.lit(0).cast("long").alias("j")).alias("tile"), F.lit(1).alias("side"), F.col("a").alias("node"))
     firsts = members.select("tile").distinct().select("tile", F.lit(0).alias("side"), F.col("tile.b").alias("node"))
     rows = members.unionByName(firsts).join(nodes.select("node", "signature"), "node").withColumn("component", F.col("node"))
@@ -160,7 +160,7 @@ def _rest_tiles(bands: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFr
     most = F.max(F.struct("n", "component")).alias("most")
     mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), most, F.count("*").alias("components")).where((F.col("components") > 1) & (F.col("all") > 2))
     mixed = mixed.select("bucket", F.col("most.component").alias("largest"), F.when(F.col("components") > 2, F.col("all") - F.col("most.n")).alias("others"))
-    rows = stored(labelled.join(mixed, "bucket"), "rest")
+    rows = stored(labelled.join(stored(mixed, "mixed", few=True), "bucket"), "rest")  # stored, so that a large bucket can be split
     inner = rows.where(F.col("component") == F.col("largest")).select("largest", "node", "component").distinct()
     outer = rows.where(F.col("component") != F.col("largest"))
     met = outer.select("largest", "node", "component").distinct()
@@ -205,15 +205,16 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = bands.select("node").distinct().join(nodes, "node").select(F.col("node").alias("at"), F.col("best.doc_id").alias("of"))
     texts = keyed.join(wanted, (F.col("node") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
     texts = stored(texts.select("node", "text").dropDuplicates(["node"]), "texts")
-    links = stored(_star_links(edges, nodes, texts), "links")
+    links = stored(_star_links(edges, nodes, texts), "links", few=True)
     labels = connected_components(links)
     tiles = _rest_tiles(bands.where(F.col("n") > 2).select("bucket", "node"), labels, nodes)
     hopeful = stored(_by_tile(tiles).mapInArrow(_hopeful, tiles.schema), "tiles")
-    more = stored(_exact(hopeful, texts), "links")
-    if more.limit(1).count():
-        labels = connected_components(links.unionByName(more).unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    more = stored(_exact(hopeful, texts), "links", few=True)
     grouped = nodes.select("node", "n", "best").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return signed, stored(grouped, "by-text")
+    if more.limit(1).count():  # links between components, so only these are joined further
+        joined = connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        grouped = grouped.join(joined, "component", "left").select("node", "n", "best", F.coalesce("whole", "component").alias("component"))
+    return signed, stored(grouped, "by-text", few=True)
 
 
 def near_duplicate_classes(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
@@ -229,7 +230,7 @@ def near_duplicate_classes(docs: DataFrame, *, doc_id="doc_id", text="text") ->
     signed, texts = _classes(chosen)
     first = F.min(F.struct("best.last", "best.doc_id")).alias("first")
     # Stored, so that the join deals out its rows anew and a class with very many texts can be split.
-    names = stored(texts.groupBy("component").agg(first, F.sum("n").alias("class_size")), "classes")
+    names = stored(texts.groupBy("component").agg(first, F.sum("n").alias("class_size")), "classes", few=True)
     classes = texts.join(names, "component").select("node", F.col("first.doc_id").alias("class_id"), "class_size")
     own = signed.where(F.col("signature").isNotNull()).select("doc_id", "node")
     alone = signed.where(F.col("signature").isNull()).select("doc_id").unionByName(chosen.where(F.col("text").isNull()).select("doc_id"))
@@ -244,7 +245,7 @@ def keep_one_of_each(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFr
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     _, texts = _classes(chosen)
     best = F.min(F.struct("best.last", "best.doc_id", "node", "best.times")).alias("best")
-    best = stored(texts.groupBy("component").agg(best).select(F.col("best.doc_id").alias("of"), F.col("best.node").alias("at"), "best.times"), "kept")
+    best = stored(texts.groupBy("component").agg(best).select(F.col("best.doc_id").alias("of"), F.col("best.node").alias("at"), "best.times"), "kept", few=True)
     mine = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(mine, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _node(F.col(text)).alias("node"))
     has_words = F.coalesce(F.col("text").rlike(r"[^\s\x1c-\x1f\x85\xa0\p{Z}]"), F.lit(False))
