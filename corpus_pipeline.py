@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonguemix.llm import langid, mixing, neardup, secret_scan, sentencepieces
+from tonguemix.llm import language_filters, mixing, neardup, secret_scan, sentencepieces
 from tonguemix.llm._common import prepare, stored, table
 
 #: Parameters: the least language score that is kept, and the tokenizer's file.
@@ -22,11 +22,11 @@ PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without letters, or like no language that was learned, go.
 
-    The filters are learned from a bounded sample of the labelled rows of docs (see langid.train).
+    The filters are learned from a bounded sample of the labelled rows of docs (see language_filters.train).
     """
     prepare(spark)
-    filters = langid.train(docs, F.col("doc_id").isNotNull() & ~langid.is_held_out(F.col("doc_id")))
-    return langid.keep_identified(docs, filters, least=LEAST_LANGUAGE_SCORE)
+    filters = language_filters.train(docs, F.col("doc_id").isNotNull() & ~language_filters.is_held_out(F.col("doc_id")))
+    return language_filters.keep_identified(docs, filters, least=LEAST_LANGUAGE_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

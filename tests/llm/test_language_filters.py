@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from tonguemix.llm import entries, langid
+from tonguemix.llm import entries, language_filters
 
 SF = "/root/testdata/sf0.01"
 GRAMS = [("a", "the quick brown fox jumps over the lazy dog again"), ("b", "der schnelle braune fuchs springt faul über den hund"), ("b", "und noch einmal über den faulen hund springt er")]
@@ -26,10 +26,10 @@ def test_held_out_accuracy(spark):
 def test_filters_against_exact_sets(spark):
     """A filter never misses an n-gram that was put in, and rarely holds one that was not."""
     docs = small(spark)
-    filters = langid.train(docs, F.lit(True), least=1, share=0.0)
+    filters = language_filters.train(docs, F.lit(True), least=1, share=0.0)
     sets = {g: set() for g in "ab"}
     for g, t in GRAMS:
-        sets[g] |= set(langid.ngrams(langid.letters(t)).tolist())
+        sets[g] |= set(language_filters.ngrams(language_filters.letters(t)).tolist())
     for k, g in enumerate(filters.languages):
         own = np.array(sorted(sets[g]), np.uint64)
         assert filters.counts(own)[k] == len(own)
@@ -38,36 +38,36 @@ def test_filters_against_exact_sets(spark):
 
 
 def test_more_languages_than_bits():
-    grams = [langid.ngrams(np.array([32, 200 + k, 300 + k, 400 + k, 32], np.uint64)) for k in range(130)]
-    masks = [np.zeros(langid.CELLS, np.uint64) for _ in range(3)]
+    grams = [language_filters.ngrams(np.array([32, 200 + k, 300 + k, 400 + k, 32], np.uint64)) for k in range(130)]
+    masks = [np.zeros(language_filters.CELLS, np.uint64) for _ in range(3)]
     for k, g in enumerate(grams):
-        for places in langid.cells(g):
-            np.bitwise_or.at(masks[k // langid.WORD_BITS], places, np.uint64(1 << k % langid.WORD_BITS))
-    filters = langid.Filters([f"l{k:03}" for k in range(130)], masks)
+        for places in language_filters.cells(g):
+            np.bitwise_or.at(masks[k // language_filters.WORD_BITS], places, np.uint64(1 << k % language_filters.WORD_BITS))
+    filters = language_filters.Filters([f"l{k:03}" for k in range(130)], masks)
     assert all(int(np.argmax(filters.counts(g))) == k for k, g in enumerate(grams))
 
 
 def test_rows(spark):
     docs = small(spark)
-    filters = langid.train(docs, F.lit(True), least=1)
+    filters = language_filters.train(docs, F.lit(True), least=1)
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !?\n"), (None, "der hund"), (4, "the dog"), (4, "the dog"), (5, "Über den Hund! " * 200000), (6, "x")], "doc_id long, text string").withColumn("lang_pred", F.lit("clash")).withColumn("row", F.lit(1))
-    rows = langid.identify(odd, filters).collect()
+    rows = language_filters.identify(odd, filters).collect()
     pred = {r.doc_id: r.lang_pred for r in rows}
     assert len(rows) == 8 and pred[1] == pred[2] == pred[3] == "und" and pred[None] == pred[5] == "b" and pred[4] == "a"
     assert pred[6] in ("a", "b") and not next(r for r in rows if r.doc_id is None).held_out
-    kept = langid.keep_identified(odd, filters)
+    kept = language_filters.keep_identified(odd, filters)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {None, 4, 5}
-    assert langid.identify(odd.limit(0), filters).count() == 0
-    nothing = langid.train(docs.limit(0), F.lit(True))
-    assert {r.lang_pred for r in langid.identify(odd, nothing).collect()} == {"und"}
+    assert language_filters.identify(odd.limit(0), filters).count() == 0
+    nothing = language_filters.train(docs.limit(0), F.lit(True))
+    assert {r.lang_pred for r in language_filters.identify(odd, nothing).collect()} == {"und"}
 
 
 def test_pieces_of_a_long_text_count_every_ngram_once(monkeypatch):
     text = "the quick brown fox über den faulen hund " * 50
-    masks = [np.full(langid.CELLS, 1, np.uint64)]
-    filters = langid.Filters(["a"], masks)
+    masks = [np.full(language_filters.CELLS, 1, np.uint64)]
+    filters = language_filters.Filters(["a"], masks)
     seen = []
-    monkeypatch.setattr(langid, "PIECE", 97)
+    monkeypatch.setattr(language_filters, "PIECE", 97)
     monkeypatch.setattr(filters, "counts", lambda grams: seen.append(grams) or np.zeros(1))
     filters.decide(text)
-    assert np.array_equal(np.concatenate(seen), langid.ngrams(langid.letters(text)))
+    assert np.array_equal(np.concatenate(seen), language_filters.ngrams(language_filters.letters(text)))

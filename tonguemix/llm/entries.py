@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, licences, mixing, neardup, secret_scan, sentencepieces, topk, warc
+from . import ann, chat, language_filters, licences, mixing, neardup, secret_scan, sentencepieces, topk, warc
 from ._common import fresh_path, table
 
 
@@ -44,8 +44,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    filters = langid.train(docs, F.col("doc_id").isNotNull() & ~langid.is_held_out(F.col("doc_id")))
-    return langid.identify(docs, filters)
+    filters = language_filters.train(docs, F.col("doc_id").isNotNull() & ~language_filters.is_held_out(F.col("doc_id")))
+    return language_filters.identify(docs, filters)
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
