@@ -2,6 +2,8 @@ import base64
 import hashlib
 import random
 import re
+import string
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,6 +63,21 @@ def test_battery_finds_random_tokens_and_leaves_words(spark):
     assert len(found & wanted) >= 0.75 * len(wanted) and not found - wanted
 
 
+def test_battery_by_encoding_and_length(spark):
+    """Random tokens of letters alone are found like others where they are long enough to tell; ordinary words never are."""
+    r, words = random.Random(5), [w for w in planted()[0][:420] if not brute(w)]
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    alphabets = {"hex": digits + "ABCDEF", "lower": lower, "upper": upper, "base32": upper + "234567", "base36": digits + lower, "mixed": upper + lower, "base64": upper + lower + digits + "+/"}
+    rows = [("word", 0, w) for w in words] + [(k, n, "".join(r.choice(a) for _ in range(n))) for k, a in alphabets.items() for n in (20, 32, 64, 128, 256) for _ in range(20)]
+    rows += [("digits", n, "".join(r.choice(digits) for _ in range(n))) for n in (20, 24, 64) for _ in range(20)]
+    docs = spark.createDataFrame([(i, f"see {t} here") for i, (_, _, t) in enumerate(rows)], SCHEMA)
+    found = Counter(rows[x.doc_id][:2] for x in ss.scan_secrets(docs).collect() if x.spans)
+    assert not found["word", 0]
+    least = {"hex": 20, "lower": 64, "upper": 64, "base32": 32, "base36": 32, "mixed": 20, "base64": 20, "digits": 24}
+    assert {k: c for k, c in found.items() if k[1] >= least[k[0]] and c < 15} == {}
+    assert all(found[k, n] for k, n in {x[:2] for x in rows} if k != "word" and n >= least[k])
+
+
 def test_rows(spark):
     docs = spark.createDataFrame([(1, "token=abcdefg"), (1, "token=abcdefg"), (None, None), (2, "")], SCHEMA).withColumn("base", F.lit(1)).withColumn("spans", F.lit("x"))
     rows = sorted((r.doc_id or 0, ss_written(r)) for r in ss.scan_secrets(docs).collect())

@@ -32,6 +32,11 @@ ALPHABETS = (("^[0-9]+$", 10, 0.14), ("^[0-9a-f]+$|^[0-9A-F]+$", 16, 0.13), ("^[
 CLASS_CHANGE, VOWEL_CORRELATION = 0.15, -0.35
 #: How often the class changes between random characters, by the size of the alphabet.
 RANDOM_CHANGE = {10: 0.0, 16: 0.47, 32: 0.3, 36: 0.4, 64: 0.64}
+#: Alphabets of letters alone, tried after those of digits and before the rest, and their rates; the SQL, which is held fixed, has none of them.
+LETTERS, LETTER_CHANGE = (("^[a-z]+$|^[A-Z]+$", 26, 0.066), ("^[A-Za-z]+$", 52, 0.062)), {26: 0.0, 52: 0.5}
+INFERRED = ALPHABETS[:2] + LETTERS + ALPHABETS[2:]
+#: How many of the three tests can tell anything, where not all can: one class has no runs, and digits have no vowels.
+TESTS = {10: 1, 26: 2}
 #: The scale and coefficients of polynomial 26.2.17 of Abramowitz and Stegun.
 TAIL_SCALE, TAIL = 0.2316419, (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
 #: Each test refutes randomness at this normal score (one in a thousand); coincidences of letters vary more than a count.
@@ -104,7 +109,7 @@ def _upper_tail(z: Column) -> Column:
 def judged(token: Column) -> Column:
     """struct(stratum, bin): the stratum of length and the bin of -log10 p; bin -1 if refuted as random."""
     size = F.length(token).cast("double")
-    pick = lambda at: F.coalesce(*[F.when(token.rlike(p), F.lit(float(v[at]))) if p else F.lit(float(v[at])) for p, *v in ALPHABETS])
+    pick = lambda at: F.coalesce(*[F.when(token.rlike(p), F.lit(float(v[at]))) if p else F.lit(float(v[at])) for p, *v in INFERRED])
     letters, agree = pick(0), pick(1)
     tally = F.transform(F.array_distinct(F.split(token, "")), lambda c: (size - F.length(F.replace(token, c, F.lit("")))))
     pairs = F.aggregate(tally, F.lit(0.0), lambda a, n: a + n * (n - 1) / 2)
@@ -115,9 +120,9 @@ def judged(token: Column) -> Column:
     uniform = 2 * (F.sqrt(agree * size * (size - 1) / 2 + 0.375) - F.sqrt(pairs + 0.375)) / OVERDISPERSION
     # Runs of one class: expected of random characters from the shares of classes in the alphabet.
     changes = F.size(F.regexp_extract_all(token, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+"), F.lit(0))) - 1.0
-    rate = F.coalesce(*[F.when(letters == n, F.lit(x)) for n, x in RANDOM_CHANGE.items()])
+    rate = F.coalesce(*[F.when(letters == n, F.lit(x)) for n, x in (RANDOM_CHANGE | LETTER_CHANGE).items()])
     unlike_runs = F.abs(changes - rate * (size - 1)) / F.sqrt((size - 1) * F.greatest(rate * (1 - rate), F.lit(0.01)))
-    runs = (changes - CLASS_CHANGE * (size - 1)) / F.sqrt((size - 1) * CLASS_CHANGE * (1 - CLASS_CHANGE))
+    runs = F.when(letters.isin(*TESTS), 0.0).otherwise((changes - CLASS_CHANGE * (size - 1)) / F.sqrt((size - 1) * CLASS_CHANGE * (1 - CLASS_CHANGE)))
     # Correlation of being a vowel with the next character's.
     vowels = size - F.length(F.regexp_replace(token, "[aeiouAEIOU]", ""))
     both = vowels - F.size(F.regexp_extract_all(token, F.lit("[aeiouAEIOU]+"), F.lit(0)))
@@ -126,7 +131,8 @@ def judged(token: Column) -> Column:
     correlation = F.coalesce(F.when(known, F.try_divide(both / (size - 1) - mean * mean, mean * (1 - mean))), F.lit(0.0))
     unlike_serial = F.abs(correlation) * F.sqrt(size)
     serial = F.when(known, (correlation - VOWEL_CORRELATION) * F.sqrt(size)).otherwise(0.0)
-    score = (uniform + runs + F.least(serial, F.lit(3.0))) / math.sqrt(3)
+    tests = F.coalesce(*[F.when(letters == n, F.lit(float(k))) for n, k in TESTS.items()], F.lit(3.0))
+    score = (uniform + runs + F.least(serial, F.lit(3.0))) / F.sqrt(tests)
     refuted = (unlike_uniform > REFUTED) | (unlike_runs > REFUTED) | (unlike_serial > REFUTED)
     bin_ = F.least(F.floor(-F.log10(F.greatest(_upper_tail(score), F.lit(1e-300))) / BIN), F.lit(BINS)).cast("int")
     return F.struct(F.floor(F.log2(size)).cast("int").alias("stratum"), F.when(refuted, -1).otherwise(F.greatest(bin_, F.lit(0))).alias("bin"))
