@@ -1,7 +1,12 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from tonguemix.llm import licences
 
+COMMON = "/usr/share/common-licenses"
+
 
 def test_spellings_of_whole_texts(spark):
     mit = licences.TEXTS["MIT"].strip()
@@ -14,6 +19,21 @@ def test_spellings_of_whole_texts(spark):
     assert rows == {1: "MIT", 2: "MIT", 3: "MIT", 4: None, 5: "BSD-2-Clause", 6: "Unlicense", 7: "BSL-1.0"}
 
 
+@pytest.mark.skipif(not os.path.isdir(COMMON), reason="no copies of the texts on this machine")
+def test_longer_texts(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = []
+    for name, licence in files.items():
+        with open(f"{COMMON}/{name}", encoding="utf-8") as f:
+            text = f.read()
+        rows += [(licence, text), (licence, text.upper().replace("\n\n", "\r\n \r\n")), (None, text + "\nAnd more."), (None, text[: len(text) // 2])]
+        if name == "Apache-2.0":
+            rows += [(licence, text.replace("[yyyy] [name of copyright owner]", "2024 Some One")), (licence, text.split("   APPENDIX")[0])]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: r.license for r in licences.scan_licences(docs).collect()}
+    assert found == {i: k for i, (k, _) in enumerate(rows)}
+
+
 def test_rows(spark):
     docs = spark.createDataFrame(
         [(1, "Prose here.\nReleased under the MIT Licence.\nMore.\n  licensed under CC BY-NC 4.0"), (1, "All rights reserved."), (None, None), (2, ""), (3, "word " * 100000), (4, "It was released under the MIT License once.")], "doc_id long, text string"

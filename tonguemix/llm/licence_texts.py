@@ -83,6 +83,25 @@ TITLES = {
     "Unlicense": ("The Unlicense",),
 }
 
+# Canonical digests of longer licences, from copies in Debian's common-licenses and Rust's documents: the whole, what
+# precedes its appendix with and without the line that ends the terms, and Apache's with its copyright line filled in.
+# The two copies of GPL-2.0 differ in wording.
+DIGESTS = {
+    "Apache-2.0": (
+        "04fe0fc2f415992e7488c2bf337adf17d3e56b48cfa588204cf5e0a98c897e5e", "4c21ad0d65e54025eff9401b5ea60ff6cb7ba163b9c645ca502d8cd14cbd604b",
+        "0f5cfa8e67a0ac44159083ab2792fc6ad422d8df6279fb4654538989c6a5cc28", "c3a44a4f3ab780a68b8cb0a2c4d5e5c38caad2b2ba378422a3e9169729b52022",
+    ),
+    "GPL-2.0": (
+        "fca9d0597eee5ef85465916ba61b41fd1ec4ba0a53efd599baa65c1a5b426a9b", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34", "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808",
+        "0c6226b8b57584fa365889445736057eb0dda8f8d24b0ff4ec1cf59998ac5656", "c2eea7a9d82a254e540a96d8107801d93d00bcef2742a78b7e8e8d0c0efcbd1c", "031ce0347a7bfaa9fea9fb34dc0def0f70d366e9b6aeab50cf9537178d0d9d50",
+    ),
+    "GPL-3.0": ("ae4b99738073ffde61412ab13252e0ed47e0d29b0cd510ed5c8d9a494f7c159d", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636", "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191"),
+    "LGPL-3.0": ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",),
+    "MPL-2.0": ("797da5d4e9dafcb728632460f1b236d20d0aa8b1f838aa5911bd9f74276d611e",),
+    "CC0-1.0": ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",),
+    "CC-BY-SA-4.0": ("6fd32d7fe30fa66c101714769c97e3e375bdf90cc19532508e2dfb4d98a92a9d",),
+}
+
 # Names in notices of one line, by SPDX identifier, and what leads in to them.
 NAMES = {
     "MIT": ("MIT License", "MIT"),

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .licence_texts import LEADS, NAMES, RESERVED, TEXTS, TITLES
+from .licence_texts import DIGESTS, LEADS, NAMES, RESERVED, TEXTS, TITLES
 
 #: Spellings that count as equal, after case and punctuation are gone.
 EQUAL = (("copyright copyright", "copyright"), ("licence", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("organisation", "organization"), ("recognise", "recognize"), ("acknowledgement", "acknowledgment"), ("per cent", "percent"), ("https", "http"))
@@ -48,7 +48,9 @@ def known_digests(spark: SparkSession) -> DataFrame:
     listed = spark.range(1).select(literal.alias("k")).select("k.*")
     lines = canonical_lines(F.col("text"))
     digest = F.sha2(F.when(F.col("whole"), canonical_text(lines)).otherwise(F.array_join(lines, " ")), 256)
-    return listed.select("license", digest.alias("digest"), "whole").distinct()
+    longer = F.explode(F.array(*[F.struct(F.lit(k).alias("license"), F.lit(d).alias("digest"), F.lit(True).alias("whole")) for k, ds in DIGESTS.items() for d in ds]))
+    given = spark.range(1).select(longer.alias("k")).select("k.*")
+    return listed.select("license", digest.alias("digest"), "whole").unionByName(given).distinct()
 
 
 def scan_licences(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
