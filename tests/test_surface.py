@@ -125,3 +125,14 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_queries_agree_with_sql(same_as_sql, name):
     same_as_sql(registry.QUERIES[name], registry.ORACLE_SQL[name])
+
+
+def test_min_domain_over_all_documents(spark, tmp_path):
+    """Documents without a label count, and a language in too few domains goes."""
+    rows = [(i, f"d{i % 9}", "en") for i in range(18)] + [(100 + i, f"x{i % 7}", "xx") for i in range(40)] + [(300 + i, f"e{i}", "fr") for i in range(8)]
+    docs = spark.createDataFrame([(i, "text", lang, source, 4) for i, source, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = registry.QUERIES["min_domain_prune_documents"](spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in kept} == {i for i, _, lang in rows if lang == "en" or lang == "fr"}
+    index = {r.domain: r.n_docs for r in registry.QUERIES["min_domain_index_documents"](spark, str(tmp_path)).collect()}
+    assert index == {d: sum(x[1] == d and x[2] in ("en", "fr") for x in rows) for d in {x[1] for x in rows}}

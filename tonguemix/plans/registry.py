@@ -104,6 +104,10 @@ def toxic(spark: SparkSession, sf_dir: str) -> corpus.CorpusIndex:
     return corpus.index_corpus(items(spark, sf_dir).join(flagged, "doc_id"), min_domain=oracle.LEAST_DOMAINS)
 
 
+def spread(spark: SparkSession, sf_dir: str) -> corpus.CorpusIndex:
+    return corpus.index_corpus(items(spark, sf_dir), min_domain=oracle.LEAST_DOMAINS)
+
+
 def given(spark: SparkSession, sf_dir: str) -> corpus.CorpusIndex:
     return corpus.index_corpus(items(spark, sf_dir), langs=oracle.GIVEN_LANGS, domains=oracle.GIVEN_DOMAINS)
 
@@ -138,6 +142,18 @@ def min_domain_index(spark, sf_dir):
     return toxic(spark, sf_dir).domain_index
 
 
+@query
+def min_domain_prune_documents(spark, sf_dir):
+    """The same as min_domain_prune over all documents, not the toxic ones alone."""
+    return spread(spark, sf_dir).items.select("doc_id", "domain", "lang", "lang_id")
+
+
+@query
+def min_domain_index_documents(spark, sf_dir):
+    """The same as min_domain_index over all documents."""
+    return spread(spark, sf_dir).domain_index
+
+
 @query
 def allow_list(spark, sf_dir):
     return given(spark, sf_dir).items.select("doc_id", "domain", "lang", "domain_id", "lang_id")
