@@ -15,7 +15,7 @@ from tonguemix.llm import language_filters, mixing, neardup, secret_scan, senten
 from tonguemix.llm._common import prepare, stored, table
 
 #: Parameters: the least language score that is kept, and the tokenizer's file.
-LEAST_LANGUAGE_SCORE = 0.1
+LEAST_LANGUAGE_SCORE = 0.4
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 

@@ -72,3 +72,11 @@ def test_rows(spark):
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in out[2].collect()) == [-1, *range(12), 22]
     empty = steps(spark, docs.limit(0))
     assert [df.count() for df in empty] == [0] * 6
+
+
+def test_languages_not_learned_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = ["Il gatto dorme sul divano mentre fuori piove e la nonna prepara la cena per tutta la famiglia", "O gato dorme no sofá enquanto chove lá fora e a avó prepara o jantar para toda a família", "Katten sover på soffan medan det regnar ute och mormor lagar middag till hela familjen"]
+    foreign = spark.createDataFrame([(-1 - i, t, None, "a", len(t)) for i, t in enumerate(texts)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(foreign), SF).collect()}
+    assert kept == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text)}
