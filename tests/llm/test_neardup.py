@@ -73,10 +73,21 @@ def edited(r, words, share):
     return " ".join(w if r.random() > share else f"x{r.randrange(10**6)}" for w in words)
 
 
-@pytest.mark.parametrize("share", [0.01, 0.022])
-def test_groups_whose_members_link_only_through_others(spark, share, monkeypatch):
+def test_finer_buckets_part_no_pair_that_may_be_similar():
+    r = np.random.default_rng(2)
+    least = int(np.ceil(neardup.REFUSED * dart.COORDINATES))
+    for trial in range(300):
+        agree = np.zeros(dart.COORDINATES, bool)
+        agree[r.choice(dart.COORDINATES, least, replace=False) if trial else np.arange(least)] = True
+        pairs = agree.reshape(-1, 2).all(axis=1)
+        assert any(pairs[i] and pairs[j] for i, j in neardup.TWO_PAIRS)
+
+
+@pytest.mark.parametrize(("share", "hot"), [(0.01, 1 << 22), (0.022, 1 << 22), (0.022, 8)])
+def test_groups_whose_members_link_only_through_others(spark, share, hot, monkeypatch):
     """Edits of one base: many members are below the threshold against the first node of their bucket."""
     monkeypatch.setattr(neardup, "SIDE", 7)
+    monkeypatch.setattr(neardup, "HOT", hot)
     r = random.Random(3)
     bases = [[f"w{r.randrange(3000)}" for _ in range(150)] for _ in range(3)]
     texts = [edited(r, bases[i % 3], share) for i in range(90)] + [" ".join(b) for b in bases]

@@ -16,7 +16,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     rounds. Labels are summed up before they are shuffled, so a node with very many links does not
     gather them; what a round ends with is a stored table.
     """
-    both = stored(links.select("a", "b").union(links.select("b", "a")).where(F.col("a") != F.col("b")).distinct(), "links", few=True)
+    ways = F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = stored(links.where(F.col("a") != F.col("b")).select(ways.alias("way")).select("way.*").distinct(), "links", few=True)
     labels = stored(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component")), "labels", few=True)
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))

@@ -9,12 +9,15 @@
    done. Of the others every pair of different components is still compared, in tiles of bounded
    size: first by signatures, which leaves the few texts that may have a link, then exactly. Tiles
    give links between components, never the pairs of a group, and no pair that shares a bucket is
-   left out.
+   left out. A bucket with very many pairs of this kind is first dealt anew by further coordinates of
+   the signatures, so that only members that agree in more meet, and none that may be similar is parted.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,12 @@ from .components import connected_components
 SIMILARITY = 0.8
 #: Shares of equal coordinates, 4 standard deviations (0.041 at 0.8) from the threshold, beyond which no text is read.
 REFUSED, ACCEPTED = 0.62, 0.96
-#: Rows of one side of a tile.
-SIDE = 256
+#: Rows of one side of a tile, and pairs of rows from which a bucket is dealt anew.
+SIDE, HOT = 256, 1 << 22
+#: Pairs of coordinates, groups of them, and each two pairs of a group (see _finer_buckets).
+PAIRS = dart.COORDINATES // 2
+GROUPS = PAIRS - (dart.COORDINATES - math.ceil(REFUSED * dart.COORDINATES)) - 1
+TWO_PAIRS = [two for g in range(GROUPS) for two in combinations(range(g, PAIRS, GROUPS), 2)]
 
 
 def _node(text: Column) -> Column:
@@ -141,26 +148,57 @@ def _star_links(edges: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFra
     shares = edges.join(signature("a", "left"), "a").join(signature("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(_agreement, "a binary, b binary, share double")
     shares = stored(shares.where(F.col("share") >= REFUSED), "shares", few=True)
     close = shares.where(F.col("share") < ACCEPTED).select("a", "b")
-    sizes = stored(close.groupBy("b").agg(F.ceil(F.count("*") / SIDE).alias("parts")), "sizes", few=True)
+    sizes = close.groupBy("b").agg(F.ceil(F.count("*") / SIDE).alias("parts"))
     members = close.join(sizes, "b").select(F.struct("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("i"), F.lit(0).cast("long").alias("j")).alias("tile"), F.lit(1).alias("side"), F.col("a").alias("node"))
     firsts = members.select("tile").distinct().select("tile", F.lit(0).alias("side"), F.col("tile.b").alias("node"))
     rows = members.unionByName(firsts).join(nodes.select("node", "signature"), "node").withColumn("component", F.col("node"))
     return shares.where(F.col("share") >= ACCEPTED).select("a", "b").unionByName(_exact(rows, texts))
 
 
+def _unmet(labelled: DataFrame, least: int) -> DataFrame:
+    """bucket, node, component -> with largest, others and work, the rows of buckets of ``least`` rows and of different components.
+
+    largest is the bucket's largest component. others is how many rows are of others, null if these
+    are one component. work is how many pairs of rows may have to meet.
+    """
+    sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    most = F.max(F.struct("n", "component")).alias("most")
+    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), most, F.count("*").alias("components")).where((F.col("components") > 1) & (F.col("all") >= least))
+    rest = F.col("all") - F.col("most.n")
+    others = F.when(F.col("components") > 2, rest)
+    work = F.col("most.n") * rest + F.coalesce(others * others / 2, F.lit(0.0))
+    return labelled.join(mixed.select("bucket", F.col("most.component").alias("largest"), others.alias("others"), work.alias("work")), "bucket")
+
+
+def _finer_buckets(hot: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of hot buckets dealt anew, to smaller buckets: no pair that may be similar is parted.
+
+    Two signatures that agree in the share REFUSED agree in both coordinates of at least GROUPS + 1 of
+    the PAIRS fixed pairs of coordinates, so of the GROUPS groups of pairs one holds two on which they
+    agree. Each two pairs of a group make one bucket of a row.
+    """
+    keys = []
+    for i, j in TWO_PAIRS:
+        at = lambda x: F.substring(F.col("signature"), 8 * x + 1, 8)
+        keys.append(F.xxhash64(F.lit(i), at(i), F.lit(j), at(j)))
+    rows = hot.select("node", "component").distinct().join(nodes.select("node", "signature"), "node")
+    return rows.select(F.explode(F.array(*keys)).alias("bucket"), "node", "component")
+
+
 def _rest_tiles(bands: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows of the tiles in which different components of a bucket of three or more still have to meet.
 
     In a bucket the largest component meets the others, and the others meet one another. All buckets
     with the same largest component are taken together, so that its members come once and not once
     for each band. Either side is cut into parts of about SIDE rows; each pair of parts is a tile.
+    A bucket whose pairs are more than HOT is dealt anew by further coordinates first.
     """
     labelled = bands.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    most = F.max(F.struct("n", "component")).alias("most")
-    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), most, F.count("*").alias("components")).where((F.col("components") > 1) & (F.col("all") > 2))
-    mixed = mixed.select("bucket", F.col("most.component").alias("largest"), F.when(F.col("components") > 2, F.col("all") - F.col("most.n")).alias("others"))
-    rows = stored(labelled.join(stored(mixed, "mixed", few=True), "bucket"), "rest")  # stored, so that a large bucket can be split
+    rows = stored(_unmet(labelled, 3), "rest")  # stored, so that a large bucket can be split
+    hot = rows.where(F.col("work") > HOT)
+    if hot.limit(1).count():
+        finer = stored(_unmet(_finer_buckets(hot, nodes), 2), "finer")
+        rows = rows.where(F.col("work") <= HOT).unionByName(finer)
     inner = rows.where(F.col("component") == F.col("largest")).select("largest", "node", "component").distinct()
     outer = rows.where(F.col("component") != F.col("largest"))
     met = outer.select("largest", "node", "component").distinct()
@@ -180,41 +218,40 @@ def _rest_tiles(bands: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFr
 
 
 def _by_text(signed: DataFrame) -> DataFrame:
-    """node, signature, n (rows with the text), best (last, doc_id, times: its smallest id, null last, and how often).
+    """node, n (rows with the text), best (its smallest id; null if it has none), times (how often an id is repeated, at most).
 
     Summed first by text and id, so a text with very many copies is spread.
     """
-    by_id = signed.groupBy("node", "doc_id").agg(F.first("signature").alias("signature"), F.count("*").alias("times"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "times")).alias("best")
-    return by_id.groupBy("node").agg(F.first("signature").alias("signature"), F.sum("times").alias("n"), best)
+    by_id = signed.where(F.col("signature").isNotNull()).groupBy("node", "doc_id").agg(F.count("*").alias("times"))
+    return by_id.groupBy("node").agg(F.sum("times").alias("n"), F.min("doc_id").alias("best"), F.max("times").alias("times"))
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs: doc_id, text. -> (signed: doc_id, node, signature), (texts with words: node, component, n, best)."""
+    """docs: doc_id, text. -> (signed: doc_id, node, signature), (texts with words: node, component, n, best, times)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.where(F.col("text").isNotNull()).withColumn("node", _node(F.col("text")))
     signed = stored(keyed.select("doc_id", "node", "text").mapInArrow(_signed, f"doc_id {kind}, node binary, signature binary"), "signatures")
-    nodes = stored(_by_text(signed.where(F.col("signature").isNotNull())), "nodes")
+    by_text = stored(_by_text(signed), "texts", few=True)
     width = 4 * dart.ROWS
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring(F.col("signature"), i * width + 1, width)) for i in range(dart.BANDS)])
-    banded = nodes.select("node", F.explode(keys).alias("bucket"))
+    # Copies have the same keys, which go before the shuffle as far as a task holds several.
+    banded = signed.where(F.col("signature").isNotNull()).select("node", keys.alias("keys")).dropDuplicates(["node"]).select("node", F.explode("keys").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
-    bands = stored(banded.join(shared.select("bucket", "first", "n"), "bucket").select("bucket", "node", "first", "n"), "bands")
-    edges = bands.where(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    bands = stored(banded.join(shared, "bucket").select("bucket", "node", "first", "n"), "bands")
     # Of copies the row that stands for them is looked for by its id too, so they are spread.
-    wanted = bands.select("node").distinct().join(nodes, "node").select(F.col("node").alias("at"), F.col("best.doc_id").alias("of"))
-    texts = keyed.join(wanted, (F.col("node") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
-    texts = stored(texts.select("node", "text").dropDuplicates(["node"]), "texts")
-    links = stored(_star_links(edges, nodes, texts), "links", few=True)
-    labels = connected_components(links)
-    tiles = _rest_tiles(bands.where(F.col("n") > 2).select("bucket", "node"), labels, nodes)
-    hopeful = stored(_by_tile(tiles).mapInArrow(_hopeful, tiles.schema), "tiles")
-    more = stored(_exact(hopeful, texts), "links", few=True)
-    grouped = nodes.select("node", "n", "best").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    wanted = bands.select("node").distinct().join(by_text, "node").select(F.col("node").alias("at"), F.col("best").alias("of"))
+    mine = (F.col("node") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("of"))
+    nodes = stored(signed.join(wanted, mine, "left_semi").select("node", "signature").dropDuplicates(["node"]), "nodes")
+    texts = stored(keyed.join(wanted, mine, "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
+    edges = bands.where(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    labels = connected_components(_star_links(edges, nodes, texts))
+    hopeful = _by_tile(_rest_tiles(bands.where(F.col("n") > 2).select("bucket", "node"), labels, nodes))
+    more = stored(_exact(hopeful.mapInArrow(_hopeful, hopeful.schema), texts), "links", few=True)
+    grouped = by_text.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     if more.limit(1).count():  # links between components, so only these are joined further
         joined = connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
-        grouped = grouped.join(joined, "component", "left").select("node", "n", "best", F.coalesce("whole", "component").alias("component"))
-    return signed, stored(grouped, "by-text", few=True)
+        grouped = grouped.join(joined, "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole")
+    return signed, grouped.select("node", "component", "n", "best", "times")
 
 
 def near_duplicate_classes(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
@@ -224,14 +261,15 @@ def near_duplicate_classes(docs: DataFrame, *, doc_id="doc_id", text="text") ->
     linked; linked documents share a class, named by its smallest doc_id. A text of fewer words is
     one shingle. Equal texts are one class. A null text, or one without words, is similar to
     none and a class of its own, of its own id. Repeated rows count each; a class of null ids alone
-    has a null name; an empty table gives no rows.
+    has a null name; an empty table gives no rows. A text of any length is taken whole: its words
+    are hashed by pieces, and 8 bytes are held for each.
     """
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed, texts = _classes(chosen)
-    first = F.min(F.struct("best.last", "best.doc_id")).alias("first")
+    texts = stored(texts, "by-text", few=True)
     # Stored, so that the join deals out its rows anew and a class with very many texts can be split.
-    names = stored(texts.groupBy("component").agg(first, F.sum("n").alias("class_size")), "classes", few=True)
-    classes = texts.join(names, "component").select("node", F.col("first.doc_id").alias("class_id"), "class_size")
+    names = stored(texts.groupBy("component").agg(F.min("best").alias("class_id"), F.sum("n").alias("class_size")), "classes", few=True)
+    classes = texts.join(names, "component").select("node", "class_id", "class_size")
     own = signed.where(F.col("signature").isNotNull()).select("doc_id", "node")
     alone = signed.where(F.col("signature").isNull()).select("doc_id").unionByName(chosen.where(F.col("text").isNull()).select("doc_id"))
     return own.join(classes, "node").select("doc_id", "class_id", "class_size").unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
@@ -244,8 +282,8 @@ def keep_one_of_each(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFr
     """
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     _, texts = _classes(chosen)
-    best = F.min(F.struct("best.last", "best.doc_id", "node", "best.times")).alias("best")
-    best = stored(texts.groupBy("component").agg(best).select(F.col("best.doc_id").alias("of"), F.col("best.node").alias("at"), "best.times"), "kept", few=True)
+    best = F.min(F.struct(F.col("best").isNull().alias("last"), F.col("best").alias("of"), F.col("node").alias("at"), "times")).alias("best")
+    best = stored(texts.groupBy("component").agg(best).select("best.of", "best.at", "best.times"), "kept", few=True)
     mine = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(mine, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _node(F.col(text)).alias("node"))
     has_words = F.coalesce(F.col("text").rlike(r"[^\s\x1c-\x1f\x85\xa0\p{Z}]"), F.lit(False))
