@@ -1,6 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,35 @@ def test_targets_and_bounds(spark):
     assert len(rows) == len(many()) and all(abs(taken[s] - want[s]) <= largest[s] / 2 + 1e-6 for s in sizes)
 
 
+def test_no_row_is_taken_more_often_than_repeats_allow(spark):
+    """A small source stops at three times its size: its wordless rows are taken three times too, not four."""
+    rows = [(i, "", "a") for i in range(2000)] + [(5000 + i, "one two three", "a") for i in range(3)] + [(9000, "w " * 100000, "b")]
+    plan = mixing.mix_sources(docs(spark, rows)).collect()
+    assert {r.copies for r in plan if r.source == "a"} == {3} and max(r.copies for r in plan) <= 3
+    applied = Counter(r.doc_id for r in mixing.apply_mix(docs(spark, rows)).collect())
+    assert max(applied.values()) == 3 and applied[5000] == 3
+
+
+@pytest.mark.parametrize("distinct", [1, 3])
+def test_twins_are_taken_in_part(spark, distinct, tmp_path):
+    """1,000 rows for each of a few texts: the words taken come within half a row of the target, and the mix has as many rows."""
+    rows = [(i % distinct, f"w{i % distinct} x y z", "a") for i in range(1000 * distinct)] + [(10**6 + i, "u v w " * (i % 9), "b") for i in range(600)]
+    table = docs(spark, rows).repartition(5)
+    plan = mixing.mix_sources(table).collect()
+    taken, target, times = Counter(), {}, Counter()
+    for r in plan:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        times[r.doc_id] += r.copies
+    assert len(plan) == len(rows) and abs(taken["a"] - target["a"]) <= 2 + 1e-6 and 0 < target["a"] % 4000
+    assert Counter(r.doc_id for r in mixing.apply_mix(table).collect()) == +times
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    names = ["doc_id", "size", "source_size", "target", "source", "copies", "taken"]
+    assert sorted(map(str, db.execute(f"SELECT {', '.join(names)} FROM ({mixing.SQL})").fetchall())) == sorted(str(tuple(r[n] for n in names)) for r in plan)
+
+
 def test_reruns_and_partitions_agree(spark):
     one = mixing.mix_sources(docs(spark, many()).repartition(1)).collect()
     assert sorted(map(str, one)) == sorted(map(str, mixing.mix_sources(docs(spark, many()).repartition(13)).collect()))

@@ -5,7 +5,8 @@ of its documents ``full`` times, and once more those whose hash lies under the s
 The threshold comes from nested histograms: words are summed by source and by the first 12 bits of
 the hash, the bucket in which the running sum crosses the budget is the boundary, and only the
 boundary bucket (about one document in 4,096) is summed again by the next 12 bits. Nothing is
-sorted by document and nothing but sums by bucket is shuffled.
+sorted by document and nothing but sums by bucket is shuffled. Rows equal in id and text share a
+hash; of those at the threshold as many are taken as the budget holds, by counts for each task.
 """
 
 from __future__ import annotations
@@ -61,12 +62,12 @@ def _boundary(rows: DataFrame, state: DataFrame, level: int) -> DataFrame:
     running = Window.partitionBy("source").orderBy("prefix")
     return (
         rows.groupBy("source", F.shiftright("hash", shift).alias("prefix"))
-        .agg(F.sum("size").alias("held"))
+        .agg(F.sum("size").alias("held"), F.count("*").alias("twins"))
         .join(_small(state.select(F.col("source").alias("of"), "rest")), F.col("source").eqNullSafe(F.col("of")))
         .withColumn("upto", F.sum("held").over(running))
         .where(F.col("upto") > F.col("rest"))
         .groupBy("source")
-        .agg(F.min(F.struct("prefix", (F.col("rest") - (F.col("upto") - F.col("held"))).alias("rest"), "held")).alias("edge"))
+        .agg(F.min(F.struct("prefix", (F.col("rest") - (F.col("upto") - F.col("held"))).alias("rest"), "held", "twins")).alias("edge"))
         .select("source", "edge.*")
     )
 
@@ -87,9 +88,10 @@ def mix_plan(docs: DataFrame, *, doc_id="doc_id", text="text", source="source",
 
     sized: one row for each row of docs, with doc_id, source, size (words) and hash. thresholds:
     one row for each source, with source_size, weight, target, full (whole passes), edge (hash
-    threshold) and closed (whether the hash equal to edge is taken too: it is, if that comes nearer
-    to the target). A null text counts no words; null ids and null sources are values like any
-    other; an empty table gives two empty tables.
+    threshold), twins (how many rows have the hash equal to edge) and part (how many of them are taken
+    once more: as many as come nearest to the target). No row is taken more than max_repeats times: a
+    source whose target is whole passes has no edge. A null text counts no words; null ids and null
+    sources are values like any other; an empty table gives two empty tables.
     """
     sized = stored(
         docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), document_hash(F.col(doc_id), F.col(text)).alias("hash")),
@@ -98,40 +100,78 @@ def mix_plan(docs: DataFrame, *, doc_id="doc_id", text="text", source="source",
     first = stored(sized.groupBy("source", F.shiftright("hash", HASH_BITS - LEVEL_BITS).alias("prefix")).agg(F.sum("size").alias("held")), "mix-histogram")
     targets = stored(source_targets(first.groupBy("source").agg(F.sum("held").alias("source_size")), tuple(weights), share, max_repeats), "mix-targets")
     ratio = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
-    state = targets.select("source", (F.col("target") - ratio * F.col("source_size")).alias("rest"))
+    state = targets.select("source", (F.col("target") - ratio * F.col("source_size")).alias("rest")).where(F.col("rest") > 0)
     state = stored(_boundary(first.select("source", F.shiftleft("prefix", HASH_BITS - LEVEL_BITS).alias("hash"), F.col("held").alias("size")), state, 1), "mix-boundary")
     rows = stored(_inside(sized, _small(state), 1).select("source", "hash", "size"), "mix-inside")
     for level in range(2, HASH_BITS // LEVEL_BITS + 1):
         state = stored(_boundary(rows, state, level), "mix-boundary")
         rows = _inside(rows, _small(state), level)
-    edges = state.select(F.col("source").alias("of"), F.col("prefix").alias("edge"), (F.col("rest") * 2 > F.col("held")).alias("closed"))
+    part = F.ceil(F.col("rest") / (F.col("held") / F.col("twins")) - 0.5).cast("long")
+    edges = state.select(F.col("source").alias("of"), F.col("prefix").alias("edge"), "twins", part.alias("part"))
     thresholds = targets.withColumn("full", ratio).join(edges, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     return sized, stored(thresholds, "mix-thresholds")
 
 
 def copies(hash_: Column) -> Column:
-    """How often a document with this hash is taken; needs full, edge and closed of its source."""
-    return F.col("full") + F.coalesce((hash_ < F.col("edge")) | (F.col("closed") & (hash_ == F.col("edge"))), F.lit(False)).cast("long")
+    """How often a document with this hash is taken; needs full, edge, twins and part of its source. Not for twins of which a part is taken."""
+    whole = (hash_ < F.col("edge")) | ((hash_ == F.col("edge")) & (F.col("part") >= F.col("twins")))
+    return F.col("full") + F.coalesce(whole, F.lit(False)).cast("long")
+
+
+def _parted(hash_: Column) -> Column:
+    """Whether a document is one of several of its hash of which a part is taken."""
+    return F.coalesce((hash_ == F.col("edge")) & (F.col("part") > 0) & (F.col("part") < F.col("twins")), F.lit(False))
+
+
+def _counted(twins: DataFrame, *kept: str) -> DataFrame:
+    """Rows that are parted -> the columns kept, full, n (rows that are equal in them in one task) and more (how many of these are taken once more).
+
+    The first part rows by task are taken. What meets is a row for each source and task, then rows are dealt out by task again.
+    """
+    by_task = twins.groupBy("of", "full", "part", F.spark_partition_id().alias("task"), *kept).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("of").orderBy("task").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    more = F.greatest(F.least(F.col("part") - before, F.col("n")), F.lit(0).cast("long"))
+    return by_task.withColumn("more", more).repartition("of", "task")
+
+
+def _has_parted(thresholds: DataFrame) -> bool:
+    return thresholds.where((F.col("part") > 0) & (F.col("part") < F.col("twins"))).limit(1).count() > 0
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
-    """One row for each row of docs: doc_id, size, source_size, target, taken (words, repeats counted), source, copies."""
+    """One row for each row of docs: doc_id, size, source_size, target, taken (words, repeats counted), source, copies.
+
+    Nulls, ties, repeated rows and empty tables are as in mix_plan(); a text of any length is counted whole.
+    """
     sized, thresholds = mix_plan(docs, **options)
     joined = sized.join(_small(thresholds.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")))
-    return joined.withColumn("copies", copies(F.col("hash"))).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+    columns = ["doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies"]
+    if not _has_parted(thresholds):
+        return joined.withColumn("copies", copies(F.col("hash"))).select(columns)
+    kept = ("doc_id", "size", "source_size", "target", "source")
+    out = joined.where(~_parted(F.col("hash"))).withColumn("copies", copies(F.col("hash"))).select(columns)
+    turns = _counted(joined.where(_parted(F.col("hash"))), *kept).withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return out.unionByName(turns.withColumn("copies", F.col("full") + (F.col("turn") <= F.col("more")).cast("long")).select(columns))
 
 
 def apply_mix(docs: DataFrame, *, doc_id="doc_id", text="text", source="source", **options) -> DataFrame:
-    """docs with its own columns alone, each row as often as the mix takes it.
+    """docs with its own columns alone, each row as often as the mix takes it, max_repeats times at most.
 
-    Hash and copies are worked out again from the row, so texts are not shuffled and columns of docs
-    may have any names.
+    Hash and copies are worked out again from the row, so texts are not shuffled, but for one copy for
+    each task of a text at the threshold whose rows are taken in part; columns of docs may have any
+    names. Nulls, ties, repeated rows and empty tables are as in mix_plan().
     """
     _, thresholds = mix_plan(docs, doc_id=doc_id, text=text, source=source, **options)
     mine = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(mine, F.col(source).alias("from"), document_hash(F.col(doc_id), F.col(text)).alias("hash"))
-    joined = keyed.join(_small(thresholds), F.col("from").eqNullSafe(F.col("source")))
-    repeated = joined.select("row", F.explode(F.array_repeat(F.lit(0), copies(F.col("hash")).cast("int"))))
+    joined = keyed.join(_small(thresholds.withColumnRenamed("source", "of")), F.col("from").eqNullSafe(F.col("of")))
+    times = copies(F.col("hash"))
+    if _has_parted(thresholds):
+        parted = _counted(joined.where(_parted(F.col("hash"))), "row").select("row", F.explode(F.array_repeat(F.lit(0), (F.col("n") * F.col("full") + F.col("more")).cast("int"))))
+        joined = joined.where(~_parted(F.col("hash")))
+        repeated = joined.select("row", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).unionByName(parted)
+    else:
+        repeated = joined.select("row", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
     return repeated.select([F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
@@ -158,14 +198,17 @@ WITH d AS (
 ), f AS (
   SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END::BIGINT AS full_passes FROM t
 ), h AS (
-  SELECT source, hash, sum(size)::BIGINT AS held FROM d GROUP BY source, hash
+  SELECT source, hash, sum(size)::BIGINT AS held, count(*) AS twins FROM d GROUP BY source, hash
 ), r AS (
-  SELECT h.source, hash, held, source_size, target, full_passes, target - full_passes * source_size AS rest,
+  SELECT h.source, hash, held, twins, source_size, target, full_passes, target - full_passes * source_size AS rest,
          sum(held) OVER (PARTITION BY h.source ORDER BY hash) AS upto
   FROM h JOIN f ON h.source IS NOT DISTINCT FROM f.source
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY source, hash) AS turn FROM d
+), k AS (
+  SELECT n.doc_id, n.size, r.source_size, r.target, n.source,
+         (full_passes + CASE WHEN rest > 0 AND (upto <= rest OR upto - held <= rest AND turn <= ceil((rest - (upto - held)) / (held / twins) - 0.5)) THEN 1 ELSE 0 END)::BIGINT AS copies
+  FROM n JOIN r ON n.source IS NOT DISTINCT FROM r.source AND n.hash = r.hash
 )
-SELECT d.doc_id, d.size, r.source_size, r.target, d.source,
-       (full_passes + CASE WHEN upto <= rest OR (upto - held <= rest AND 2 * (rest - (upto - held)) > held) THEN 1 ELSE 0 END)::BIGINT AS copies,
-       (d.size * (full_passes + CASE WHEN upto <= rest OR (upto - held <= rest AND 2 * (rest - (upto - held)) > held) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source AND d.hash = r.hash
+SELECT doc_id, size, source_size, target, source, copies, (size * copies)::BIGINT AS taken FROM k
 """
