@@ -1,4 +1,6 @@
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ def test_filters_against_exact_sets(spark):
     filters = language_filters.train(docs, F.lit(True), least=1, share=0.0)
     sets = {g: set() for g in "ab"}
     for g, t in GRAMS:
-        sets[g] |= set(language_filters.ngrams(language_filters.letters(t)).tolist())
+        sets[g] |= {x for codes in language_filters.letters(t) for x in language_filters.ngrams(codes).tolist()}
     for k, g in enumerate(filters.languages):
         own = np.array(sorted(sets[g]), np.uint64)
         assert filters.counts(own)[k] == len(own)
@@ -63,11 +65,42 @@ def test_rows(spark):
 
 
 def test_pieces_of_a_long_text_count_every_ngram_once(monkeypatch):
-    text = "the quick brown fox über den faulen hund " * 50
-    masks = [np.full(language_filters.CELLS, 1, np.uint64)]
-    filters = language_filters.Filters(["a"], masks)
-    seen = []
-    monkeypatch.setattr(language_filters, "PIECE", 97)
-    monkeypatch.setattr(filters, "counts", lambda grams: seen.append(grams) or np.zeros(1))
-    filters.decide(text)
-    assert np.array_equal(np.concatenate(seen), language_filters.ngrams(language_filters.letters(text)))
+    for text in ("the quick brown fox über den faulen hund " * 50, "a" + " " * 500 + "b", " " * 300, "x", "", "ab" + "." * 96 + "c" * 97 + "." * 200):
+        whole = [language_filters.ngrams(codes) for codes in language_filters.letters(text)]
+        assert len(whole) == 1
+        with monkeypatch.context() as patch:
+            patch.setattr(language_filters, "PIECE", 97)
+            assert np.array_equal(np.concatenate([language_filters.ngrams(codes) for codes in language_filters.letters(text)]), whole[0])
+
+
+def grams_of(text):
+    line = re.sub(" +", " ", " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " ")
+    return [line[i : i + 4] for i in range(max(1, len(line) - 3))], any(c != " " for c in line)
+
+
+def test_query_against_exact_sets(spark):
+    """The query over a whole table beside sets of strings: Bloom filters shift scores by what their correction leaves, and no decision but near ties."""
+    folder = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    held_out = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    counts = {}
+    for r in docs.values():
+        if not held_out(r.doc_id) and r.text is not None and r.lang is not None:
+            counts.setdefault(r.lang, Counter()).update(grams_of(r.text)[0])
+    kept = {lang: {g: n for g, n in c.items() if n >= 2} for lang, c in counts.items()}
+    rates = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in kept.items()}
+    most = Counter()
+    for c in rates.values():
+        for g, x in c.items():
+            most[g] = max(most[g], x)
+    sets = {lang: {g for g, x in c.items() if x >= 0.25 * most[g]} for lang, c in rates.items()}
+    rows = entries.QUERIES["op6_language_id"](spark, folder).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        grams, known = grams_of(docs[r.doc_id].text or "")
+        share = {lang: sum(g in own for g in grams) / len(grams) for lang, own in sets.items()}
+        assert r.held_out == held_out(r.doc_id)
+        if not known:
+            assert (r.lang_pred, r.score) == ("und", 0)
+        else:
+            assert abs(r.score - max(share.values())) < 0.02 and share[r.lang_pred] > max(share.values()) - 0.02

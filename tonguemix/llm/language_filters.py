@@ -33,12 +33,25 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def letters(text: str) -> np.ndarray:
-    """Code points of the lower-case text, every run of other characters as one space, a space at either end."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    letter = _LETTER[np.minimum(codes, len(_LETTER) - 1)]
-    codes = np.concatenate([[32], np.where(letter, codes, 32), [32]]).astype(np.uint64)
-    return codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])]
+def letters(text: str) -> Iterator[np.ndarray]:
+    """Code points of the lower-case text, every run of other characters as one space, a space at either end.
+
+    They come by pieces of the text, each after the first with the last ORDER - 1 of those before, so that
+    arrays are no longer than a piece. A piece that adds nothing, or whose windows would all be short, is
+    held back; of a text shorter than a window all codes come at once.
+    """
+    held, begun = np.array([32], np.uint64), False
+    for start in range(0, max(1, len(text)), PIECE):
+        codes = np.frombuffer(text[start : start + PIECE].lower().encode("utf-32-le", "surrogatepass"), "<u4")
+        codes = np.where(_LETTER[np.minimum(codes, len(_LETTER) - 1)], codes, 32).astype(np.uint64)
+        ended = start + PIECE >= len(text)
+        codes = np.concatenate([held, codes, np.array([32] * ended, np.uint64)])
+        codes = codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])]
+        if len(codes) >= ORDER or ended and not begun:
+            yield codes
+            begun, held = True, codes[-(ORDER - 1) :]
+        else:
+            held = codes
 
 
 _LETTER = np.array([chr(c).isalpha() for c in range(0x32400)])  # beyond lie no letters
@@ -87,14 +100,14 @@ class Filters:
 
     def decide(self, text: str | None) -> tuple[str, float]:
         """Language and score: the corrected share of the text's n-grams that it holds, from 0 to 1."""
-        codes = letters(text or "")
-        if len(codes) <= 2 and not (codes != 32).any() or not self.languages:
-            return UNDETERMINED, 0.0
-        total, n = np.zeros(len(self.languages)), 0
-        for start in range(0, max(1, len(codes) - ORDER + 1), PIECE):
-            grams = ngrams(codes[start : start + PIECE + ORDER - 1])
+        total, n, found = np.zeros(len(self.languages)), 0, False
+        for codes in letters(text or ""):
+            grams = ngrams(codes)
             total += self.counts(grams)
             n += len(grams)
+            found = found or bool((codes != 32).any())
+        if not found or not self.languages:
+            return UNDETERMINED, 0.0
         share = np.clip((total - n * self.chance) / (n * np.maximum(1 - self.chance, 1e-9)), 0, 1)
         best = int(np.argmax(share))
         return self.languages[best], float(share[best])
@@ -113,12 +126,13 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     waiting = 0
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            grams = ngrams(letters(text))
-            held.setdefault(lang, []).append(grams)
-            waiting += len(grams)
-            if waiting > 1 << 22:
-                yield from flush()
-                waiting = 0
+            for codes in letters(text):
+                grams = ngrams(codes)
+                held.setdefault(lang, []).append(grams)
+                waiting += len(grams)
+                if waiting > 1 << 22:
+                    yield from flush()
+                    waiting = 0
     yield from flush()
 
 
@@ -183,7 +197,11 @@ def identify(docs: DataFrame, filters: Filters, *, doc_id="doc_id", text="text")
 
 
 def keep_identified(docs: DataFrame, filters: Filters, *, text="text", least: float = 0.2) -> DataFrame:
-    """docs with its own columns, without the rows that are und or whose score is below least."""
+    """docs with its own columns, without the rows that are und or whose score is below least.
+
+    Null and empty texts are und, so they go; ties of languages do not matter; repeated rows share their
+    fate; an empty table stays empty. Texts are looked up whole, however long.
+    """
     mine = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     chosen = docs.select(mine, F.col(text).alias("text"))
     found = chosen.withColumn("found", predictor(chosen, filters, "text"))
