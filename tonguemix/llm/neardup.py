@@ -86,14 +86,16 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _pairs(tile: pa.Table) -> Iterator[tuple[int, int]]:
-    """Rows of one side with rows of the other that are of another component and may be similar; side 2: all with all."""
-    signatures = _matrix(tile.column("signature"))
+    """Rows of one side with rows of the other that are of another component and, if there are signatures, may be similar; side 2: all with all."""
+    signatures = _matrix(tile.column("signature")) if "signature" in tile.column_names else None
     side, component = np.array(tile.column("side").to_pylist()), np.array(tile.column("component").to_pylist(), object)
     lefts, rights = (np.flatnonzero(side == 2),) * 2 if (side == 2).all() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     for i in lefts:
         others = rights[rights > i] if side[i] == 2 else rights
-        near = others[((signatures[others] == signatures[i]).mean(axis=1) >= REFUSED) & (component[others] != component[i])]
-        for j in near:
+        others = others[component[others] != component[i]]
+        if signatures is not None:
+            others = others[(signatures[others] == signatures[i]).mean(axis=1) >= REFUSED]
+        for j in others:
             yield int(i), int(j)
 
 
@@ -133,8 +135,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _exact(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """rows: tile, side, node, component, signature. -> links a, b of components, by the texts."""
-    whole = rows.join(texts, "node").select("tile", "side", "component", "signature", "text")
+    """rows: tile, side, node, component, perhaps signature. -> links a, b of components, by the texts."""
+    whole = rows.join(texts, "node").drop("node")
     return _by_tile(whole).mapInArrow(_links, "a binary, b binary")
 
 
@@ -151,7 +153,7 @@ def _star_links(edges: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFra
     sizes = close.groupBy("b").agg(F.ceil(F.count("*") / SIDE).alias("parts"))
     members = close.join(sizes, "b").select(F.struct("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("i"), F.lit(0).cast("long").alias("j")).alias("tile"), F.lit(1).alias("side"), F.col("a").alias("node"))
     firsts = members.select("tile").distinct().select("tile", F.lit(0).alias("side"), F.col("tile.b").alias("node"))
-    rows = members.unionByName(firsts).join(nodes.select("node", "signature"), "node").withColumn("component", F.col("node"))
+    rows = members.unionByName(firsts).withColumn("component", F.col("node"))
     return shares.where(F.col("share") >= ACCEPTED).select("a", "b").unionByName(_exact(rows, texts))
 
 
@@ -241,7 +243,8 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Of copies the row that stands for them is looked for by its id too, so they are spread.
     wanted = bands.select("node").distinct().join(by_text, "node").select(F.col("node").alias("at"), F.col("best").alias("of"))
     mine = (F.col("node") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("of"))
-    nodes = stored(signed.join(wanted, mine, "left_semi").select("node", "signature").dropDuplicates(["node"]), "nodes")
+    nodes = stored(signed.join(wanted, mine, "left_semi").select("node", "doc_id", "signature").dropDuplicates(["node"]), "nodes")
+    wanted = nodes.select(F.col("node").alias("at"), F.col("doc_id").alias("of"))
     texts = stored(keyed.join(wanted, mine, "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
     edges = bands.where(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     labels = connected_components(_star_links(edges, nodes, texts))
