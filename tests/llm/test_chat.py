@@ -28,6 +28,19 @@ def test_fold(spark):
     assert [(r.role, r.text) for r in folded] == [("user", "hello"), ("assistant", "Good day"), ("user", "back")]
 
 
+def test_unnamed_messages_and_given_ids_are_apart(spark):
+    log = [(1, 1, "message", None, "user", "a"), (1, 2, "message", "seq:1", "user", "b"), (1, 3, "delta", "seq:1", None, "c"), (1, 4, "delta", None, "assistant", "d")]
+    folded = chat.fold_events(spark.createDataFrame(log, EVENTS)).orderBy("seq").collect()
+    assert [(r.seq, r.text) for r in folded] == [(1, "a"), (2, "bc"), (4, "d")]
+
+
+def test_log_streams_edits_and_regenerates(spark):
+    text = "é𝔘xy" * 2000
+    log = chat.message_log(spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text), (1, 1, "assistant", text), (None, None, None, None)], "conv_id long, turn long, role string, text string"))
+    assert {r.kind for r in log.collect()} == {"message", "delta", "edit", "regenerate"} and log.where("kind = 'delta'").count() == 2 + 3 + 4 + 3 + 1
+    assert sorted(r.text for r in chat.fold_events(log).collect()) == ["", text, text, text]
+
+
 def test_rows(spark):
     rows = [
         (1, 0, "user", "a <s> b"), (1, 1, "assistant", "[INST] x <\\|im_end|> <|im_end|>\n"), (1, 1, "assistant", "twin"), (1, 1, "assistant", "twin"),

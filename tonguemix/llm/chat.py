@@ -61,25 +61,28 @@ def _quoted(s: str) -> str:
 
 #: Kinds of events that begin a message's content anew, and those whose text is content.
 RESETS, CONTENT = ("message", "edit", "regenerate", "delete"), ("message", "edit", "delta")
+#: Code points of a delta in message_log().
+PIECE = 2048
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """events: conv_id, seq, kind, message, role, text. -> conv_id, seq, place, role, text: final messages.
+    """events: conv_id, seq, kind, message, role, text, perhaps step. -> conv_id, seq, message, place, role, text: final messages.
 
-    An event belongs to its message id, or to its seq where that is null. In order of seq, a
+    An event belongs to its message id, or to its seq where that is null; such messages and given ids
+    are never mixed up. step, null first, orders the events of one seq. In order of seq and step, a
     "message" begins a message with its text (a second one under the same id begins another),
     "delta" appends, "edit" replaces the text, "regenerate" empties it, "delete" removes the message
-    unless it is written anew. Events of one seq go by kind, role and text, so repeated rows count
-    each. A null text is empty; the role is the first that is given, else empty; other kinds are
+    unless it is written anew. Events of one seq and step go by kind, role and text, so repeated rows
+    count each. A null text is empty; the role is the first that is given, else empty; other kinds are
     ignored; deltas after a deletion are ignored. Null conversations and null seqs are values like
     any other, and come first. Events are spread by message, not by conversation.
     """
     key = ["conv_id", "message"]
-    known = events.where(F.col("kind").isin(*RESETS, "delta")).select(
-        "conv_id", "seq", "kind", F.coalesce(F.col("message").cast("string"), F.concat(F.lit("seq:"), F.col("seq").cast("string"))).alias("message"), "role", F.coalesce("text", F.lit("")).alias("text")
-    )
+    own = F.coalesce(F.concat(F.lit("id:"), F.col("message").cast("string")), F.concat(F.lit("seq:"), F.col("seq").cast("string")))
+    step = (F.col("step") if "step" in events.columns else F.lit(None)).cast("long")
+    known = events.where(F.col("kind").isin(*RESETS, "delta")).select("conv_id", "seq", step.alias("step"), "kind", own.alias("message"), "role", F.coalesce("text", F.lit("")).alias("text"))
     order = F.array_position(F.array(*[F.lit(x) for x in (*RESETS, "delta")]), F.col("kind"))
-    in_order = Window.partitionBy(*key).orderBy("seq", order, F.coalesce("role", F.lit("")), "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_order = Window.partitionBy(*key).orderBy("seq", "step", order, F.coalesce("role", F.lit("")), "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = (
         known.withColumn("place", F.row_number().over(in_order))
         .withColumn("instance", F.sum((F.col("kind") == "message").cast("long")).over(in_order))
@@ -102,15 +105,17 @@ def format_chats(events: DataFrame, template: Template = Template()) -> DataFram
     """conv_id, formatted, loss_spans: one row for each conversation with a message left.
 
     loss_spans: array of (turn, turn_start, start, end), code points in formatted, under which lie the
-    texts of the loss roles as they are escaped there. A conversation is one string, so it has to
-    fit in one value; its messages meet in one task only to be joined into it.
+    texts of the loss roles as they are escaped there. Messages go by the seq of their first event, then
+    by role, text and id. A conversation is one string, so it has to fit in one value; its messages
+    meet in one task only to be joined into it. Nulls, repeated rows and ties are as in fold_events();
+    an empty log gives no rows; texts of any length stay whole.
     """
     text = template.escaped(F.col("text"))
     drawn = fold_events(events).withColumn("head", template.header(F.col("role"))).withColumn("body", text)
     drawn = drawn.withColumn("turn_text", F.concat("head", "body", F.lit(template.footer()))).withColumn("learn", F.col("role").isin(*template.loss_roles))
-    in_order = Window.partitionBy("conv_id").orderBy("seq", "message", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_order = Window.partitionBy("conv_id").orderBy("seq", "role", "text", "message", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
-        drawn.select("conv_id", "seq", "message", "place", "turn_text", "learn", F.length("head").alias("ahead"), F.length("body").alias("long"), F.length("turn_text").alias("all"))
+        drawn.select("conv_id", "seq", "role", "text", "message", "place", "turn_text", "learn", F.length("head").alias("ahead"), F.length("body").alias("long"), F.length("turn_text").alias("all"))
         .withColumn("turn", F.row_number().over(in_order) - 1)
         .withColumn("at", F.sum("all").over(in_order) - F.col("all"))
     )
@@ -122,7 +127,10 @@ def format_chats(events: DataFrame, template: Template = Template()) -> DataFram
 
 
 def read_chats(formatted: DataFrame, template: Template = Template()) -> DataFrame:
-    """conv_id, turns (array of role and text), loss_text: read back from formatted and loss_spans alone."""
+    """conv_id, turns (array of role and text), loss_text: read back from formatted and loss_spans alone.
+
+    A row for each row, null and repeated ones too; an empty table gives no rows.
+    """
     split = formatted.withColumn("raw", template.turns(F.col("formatted")))
     masked = F.transform("loss_spans", lambda s: template.unescaped(F.substring(F.get(F.col("raw"), s["turn"]), (s["start"] - s["turn_start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
     turns = F.transform("raw", lambda t: F.struct(template.role(t).alias("role"), template.text(t).alias("text")))
@@ -130,8 +138,22 @@ def read_chats(formatted: DataFrame, template: Template = Template()) -> DataFra
 
 
 def message_log(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text as a log in which each row is a whole message."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("message"), "role", "text")
+    """conv_id, turn, role, text as the log of how each row may have come about; folded, it gives the rows back.
+
+    Messages of even turns (and of null ones) are streamed: an empty message, a first attempt, a
+    regeneration, and the text in deltas of PIECE code points. Those of odd turns are begun, edited to
+    the first delta, and gone on with. A null text is empty; repeated rows are messages of their own.
+    """
+    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().cast("string").alias("message"))
+    event = lambda step, kind, text: F.struct(F.lit(step).cast("long").alias("step") if isinstance(step, int) else step.alias("step"), F.lit(kind).alias("kind"), text.alias("text"))
+    piece = lambda i: F.substring(F.col("text"), (i * PIECE + 1).cast("int"), F.lit(PIECE))
+    count = F.greatest(F.ceil(F.length("text") / PIECE), F.lit(1).cast("long"))
+    deltas = F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda i: event(i + 3, "delta", piece(i)))
+    draft = F.reverse(F.substring("text", 1, 32))
+    streamed = F.array(event(0, "message", F.lit("")), event(1, "delta", draft), event(2, "regenerate", F.lit("")))
+    edited = F.array(event(0, "message", draft), event(1, "edit", piece(F.lit(0).cast("long"))))
+    events = F.when(F.col("turn") % 2 != 0, F.concat(edited, F.slice(deltas, F.lit(2), F.size(deltas)))).otherwise(F.concat(streamed, deltas))
+    return rows.select("conv_id", F.col("turn").alias("seq"), "message", "role", F.explode(events).alias("event")).select("conv_id", "seq", "event.step", "event.kind", "message", "role", "event.text")
 
 
 def conversation_digests(read: DataFrame) -> DataFrame:
