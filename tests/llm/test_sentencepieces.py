@@ -7,6 +7,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tonguemix.llm import entries
 from tonguemix.llm import sentencepieces as sp
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -62,3 +63,26 @@ def test_rows(spark):
     encoded = sp.encode_documents(docs, MODEL)
     assert {r.doc_id: r.text for r in sp.decode_documents(encoded, MODEL).collect()} == {1: "the cat", None: "", 2: "", 3: "long " * 60000}
     assert sp.round_trip_digests(docs.limit(0), MODEL).count() == 0
+
+
+def digests(library, text):
+    ids = library.encode(text or "", add_bos=True, add_eos=True)
+    return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_query_against_the_library(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = entries.QUERIES["op3_sentencepiece"](spark, folder).collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows} == {i: digests(LIBRARY, t) for i, t in texts.items()} and len(rows) == len(texts)
+
+
+def test_a_model_with_a_character_map(spark):
+    """The same pieces under the rules of nmt_nfkc: every text goes through the compiled map."""
+    rules = next(v for n, v, _ in sp._fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()) if n == sp.NORMALIZER)
+    model = b"".join(raw for n, _, raw in sp._fields(MODEL) if n != sp.NORMALIZER) + sp._varint(sp.NORMALIZER << 3 | 2) + sp._varint(len(rules)) + rules
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    texts = [*TEXTS, "Ⅷ ﷺ ① ﾊﾞ", "A  B", "ＡＢＣ　ｄ", None] + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    rows = sp.round_trip_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert sp.codec(model).normalize.charsmap is not None
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows} == {i: digests(library, t) for i, t in enumerate(texts)}
