@@ -1,4 +1,6 @@
 import heapq
+import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -45,13 +47,45 @@ def in_order(a, b):
     return total
 
 
-def test_top_k_against_brute_force(spark, grid):
-    table, rows = vectors(spark)
+def test_twins_null_ids_and_repeats_against_brute_force(spark, grid):
+    """Every row but those of the query's own id is a candidate, a null id too; a repeated query is answered for each row."""
+    _, rows = vectors(spark)
+    rows += [(None, rows[7][1]), (None, rows[7][1]), (7, rows[9][1]), (40, rows[40][1])]
+    table = spark.createDataFrame(rows, SCHEMA)
+
+    def want(k, score):
+        out = []
+        for q, own in rows:
+            if q is not None and q % 10 == 0:
+                scored = [(-score(own, v), i is None, i or 0) for i, v in rows if i != q]
+                out += [(q, n, None if none else i, -s) for n, (s, none, i) in enumerate(heapq.nsmallest(k, scored), 1)]
+        return sorted(out, key=str)
+
+    is_query = F.col("vec_id") % 10 == 0
+    assert sorted(map(tuple, topk.exact_top_k(table, is_query, k=10).collect()), key=str) == want(10, integers)
+    assert sorted(map(tuple, ann.nearest(table, is_query, k=20).collect()), key=str) == want(20, in_order)
+
+
+@pytest.mark.parametrize("largest", [1e3, 1e5, 1e12, 1e200, 1e308])
+def test_components_of_any_size_against_whole_numbers(spark, grid, largest):
+    """Scores are exact and held within a long, whatever the components of other rows."""
+    r = np.random.default_rng(8)
+    scale = 10.0 ** r.uniform(-2, np.log10(largest), size=(60, 1))
+    rows = [(i, (x * min(s, 1e307)).tolist()) for i, (x, s) in enumerate(zip(r.uniform(-1, 1, size=(60, 40)), scale[:, 0], strict=True))]
+    rows += [(100 + i, r.integers(-9, 9, 40).astype(float).tolist()) for i in range(60)] + [(200, [largest] * 40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(Fraction(1024) * Fraction(x)) if abs(x) > 1e300 else math.floor(1024 * x) for x in v] for i, v in rows}
+
+    def score(a, b):
+        return max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=True))))
+
+    want = []
+    for q, own in whole.items():
+        if q % 10 == 0:
+            scored = sorted((-score(own, v), i) for i, v in whole.items() if i != q)[:10]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
     found = topk.exact_top_k(table, F.col("vec_id") % 10 == 0, k=10)
-    want = brute([r for i, r in enumerate(rows) if r not in rows[:i]], 10, 10, integers)
-    rows_ = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in found.collect()}
-    full = {(q, n): (i, s) for q, n, i, s in want}
-    assert {k: v[1] for k, v in rows_.items() if k[0] < 2000} == {k: v[1] for k, v in full.items() if k[0] < 2000}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
 
 
 def test_distinct_rows_exactly(spark, grid):
@@ -76,9 +110,9 @@ def test_rows(spark, grid):
     table = spark.createDataFrame(rows, SCHEMA).withColumn("vector", F.lit("clash")).withColumn("score", F.lit(1))
     is_query = F.col("vec_id") % 20 == 0
     top = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.exact_top_k(table, is_query).collect())
-    assert top == [(0, 1, 6, 1024 * 512 + 512 * 512), (0, 2, 6, 1024 * 512 + 512 * 512), (0, 3, 5, 0), (20, 1, 7, 4 * 1024 * 1024)]
+    assert top == [(0, 1, None, 1024 * 1536), (0, 2, 6, 512 * 1536), (0, 3, 6, 512 * 1536), (0, 4, 5, 0), (20, 1, 7, 4 * 1024 * 1024)]
     near = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(table, is_query).collect())
-    assert near == [(0, 1, 6, 0.75), (0, 2, 6, 0.75), (20, 1, 7, 4.0)]
+    assert near == [(0, 1, None, 1.5), (0, 2, 6, 0.75), (0, 3, 6, 0.75), (20, 1, 7, 4.0)]
     for search in (topk.exact_top_k, ann.nearest):
         assert search(table.limit(0), is_query).count() == 0
 

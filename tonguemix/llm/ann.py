@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import grid_search, heap_top, usable
+from .blocks import Candidates, grid_search, heap_top, usable
 
 #: Rows of a tile of codes: a tile of products takes 4 bytes times both.
 QUERY_TILE, CANDIDATE_TILE = 256, 4096
@@ -51,18 +51,18 @@ def exact_scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return total
 
 
-def _answer(queries, candidates, q_ids, c_ids, k):
+def _answer(queries: np.ndarray, candidates: np.ndarray, q_ids: np.ndarray, known: Candidates, k: int, floors: np.ndarray):
     q, c = Quantised(queries), Quantised(candidates)
     for top in range(0, len(queries), QUERY_TILE):
         at = slice(top, top + QUERY_TILE)
         heaps = [(np.empty(0, np.int64), np.empty(0)) for _ in range(len(queries[at]))]
-        least = np.full(len(heaps), -np.inf)  # the k-th best exact score so far
+        least = floors[at].copy()  # the k-th best exact score so far
         for left in range(0, len(candidates), CANDIDATE_TILE):
             cut = slice(left, left + CANDIDATE_TILE)
             middle = _products(q.codes[at], c.codes[cut]) * q.scale[at, None] * c.scale[None, cut]
             bound = q.restored_norm[at, None] * c.error_norm[None, cut] + q.error_norm[at, None] * c.norm[None, cut]
             bound += 1e-12 * q.norm[at, None] * c.norm[None, cut]
-            own = q_ids[at, None] == c_ids[None, cut]
+            own = (q_ids[at, None] == known.ids[None, cut]) & ~known.none[None, cut]
             low = np.where(own, -np.inf, middle - bound)
             if low.shape[1] > k:
                 least = np.maximum(least, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
@@ -72,7 +72,7 @@ def _answer(queries, candidates, q_ids, c_ids, k):
             for i, (places, held) in enumerate(heaps):
                 new = slice(edges[i], edges[i + 1])
                 places, held = np.concatenate([places, column[new] + left]), np.concatenate([held, scores[new]])
-                best = heap_top(held, c_ids[places], np.arange(len(places)), k)
+                best = heap_top(held, known.none[places], known.ids[places], k)
                 heaps[i] = places[best], held[best]
                 if len(best) == k:
                     least[i] = max(least[i], held[best[-1]])
@@ -85,7 +85,8 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, vec_id="vec_id
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part; a query
     with fewer than k candidates gets them all; an empty table gives no rows. Ties go to the smaller
-    vec_id. The bounds are never wrong, so recall is 1.
+    vec_id, a null one last. Rows with a null id are candidates and no queries; repeated rows count
+    each, as candidates and as queries. The bounds are never wrong, so recall is 1.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
     return grid_search(rows.where(usable(F.col("vector"), nonzero=True)), is_query, _answer, "double", k)
@@ -93,15 +94,14 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, vec_id="vec_id
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  SELECT row_number() OVER () AS row, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]), lambda a, b: a + b) AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+  SELECT q.row, q.vec_id AS query_id, c.vec_id AS vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]), lambda a, b: a + b) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id AND len(q.e) = len(c.e)
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
