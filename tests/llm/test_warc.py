@@ -92,3 +92,43 @@ def test_archives_that_others_wrote(spark, split_size, tmp_path):
     assert by_file("good.warc") == bare and by_file("late.warc") == [] and by_file("empty.warc") == []
     torn = by_file("torn.warc")
     assert torn == bare[: len(torn)] and len(torn) >= 10
+
+
+def foreign(version, fields, body):
+    return version + b"\r\nWARC-Type: resource\r\n" + fields + b"Content-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("size", [53, 97, 173, 311, 4096])
+def test_headers_with_version_lines_over_any_split(spark, tmp_path, size):
+    """WARC/1.0 and 1.1 in one file; headers hold version lines, which splits of many sizes cut in many places."""
+    notes = [b"", b"Software: reads WARC/1.0 and WARC/1.1\r\n", b"X: " + b"WARC/1.1 " * 40 + b"\r\n"]
+    bodies = [b"plain %d" % i + b" WARC/1.0\r\nContent-Length: 3\r\n\r\nabc" * (i % 3) for i in range(12)]
+    (tmp_path / "a.warc").write_bytes(b"".join(foreign((b"WARC/1.0", b"WARC/1.1")[i % 2], notes[i % 3], b) for i, b in enumerate(bodies)))
+    (tmp_path / "b.warc").write_bytes(foreign(b"WARC/1.2", b"", b"unknown version"))
+    keys = {"spark.sql.files.maxPartitionBytes": f"{size}b", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        rows = sorted(warc.read_archives(spark, f"file://{tmp_path}").collect(), key=lambda r: r.start)
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    assert [bytes(r.payload) for r in rows] == [b.partition(b"\r\n\r\n")[2] or b for b in bodies] and rows[1].headers["software"] == "reads WARC/1.0 and WARC/1.1"
+
+
+def test_payloads_are_joined_without_a_shuffle(spark, monkeypatch, split_size):
+    """Entries are broadcast whatever the session's threshold, in several passes where they are many."""
+    monkeypatch.setattr(warc, "ENTRY_ROWS", 2)
+    pages, rows = pages_of(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        path = fresh_path(spark, "test-warc")
+        warc.write_archives(warc.record_plan(pages).coalesce(5), path)
+        records = warc.read_archives(spark, path)
+        found = sorted(int(r.headers["x-page-id"]) for r in records.collect())
+        plan = records._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == sorted(i for i, *_ in rows)
+    if split_size == "64m":  # no record reaches over a split
+        assert "hashpartitioning" not in plan and "Sort" not in plan and "BroadcastHashJoin" in plan

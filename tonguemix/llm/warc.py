@@ -2,12 +2,13 @@
 
 Writing stays in Spark's own writer: a record is a string, and records follow one another in a file.
 
-Reading splits files at every place where the version line stands, in payloads too, so a task can
+Reading splits files at every place where a version line begins, in payloads too, so a task can
 begin anywhere. Each task emits, for its candidates, where the record would end and the next would
 begin, and follows these links to the end of its split. The links from split to split are then
 followed from the start of each file by pointer jumping, which doubles its stride every round. What
 is reached are the records; a version line inside a payload begins a candidate that no chain from
-the start of the file reaches.
+the start of the file reaches. Payloads are not shuffled: where the chain enters each split is a
+small table that is broadcast, for as many files at a time as its bound allows.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import prepare, stored
 
 #: Fixed values of the format.
-MAGIC, BLANK = "WARC/1.1\r\n", "\r\n\r\n"
+MAGIC, VERSIONS, BLANK = "WARC/1.", ("0\r\n", "1\r\n"), "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32, BASE32HEX = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 DATE = "2024-01-01T00:00:00Z"
+#: Bytes that a record's header may have at most, and splits whose entries are broadcast at a time: some 30 MB.
+HEADER, ENTRY_ROWS = 1 << 20, 200_000
 
 
 def base32_sha1(data: Column) -> Column:
@@ -80,7 +83,7 @@ def write_archives(plan: DataFrame, path: str) -> None:
     uri = F.replace(F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.lit("WARC/"), F.lit("WARC%2F"))
     own = _record_id(F.col("page_id"), F.col("digest"))
     head = F.concat(
-        F.lit(MAGIC + "WARC-Type: "), F.col("type"), F.lit("\r\n"),
+        F.lit(MAGIC + VERSIONS[-1] + "WARC-Type: "), F.col("type"), F.lit("\r\n"),
         line("WARC-Record-ID", F.when(response, own).otherwise(_record_id(F.col("page_id"), F.col("digest"), F.col("type"), F.col("url")))),
         F.lit(f"WARC-Date: {DATE}\r\n"),
         line("WARC-Target-URI", uri),
@@ -94,20 +97,20 @@ def write_archives(plan: DataFrame, path: str) -> None:
     plan.select(F.concat(head, block, F.lit(BLANK[:-1])).alias("value")).write.option("lineSep", BLANK[-1]).text(path)
 
 
-_MAGIC, _BLANK = MAGIC.encode(), BLANK.encode()
+_MAGIC, _VERSIONS, _BLANK = MAGIC.encode(), tuple(v.encode() for v in VERSIONS), BLANK.encode()
 _LENGTH = re.compile(rb"^content-length:[ \t]*([0-9]+)[ \t]*\r?$", re.I | re.M)
 
 
 def _block(record: bytes) -> tuple[int, int] | None:
-    """Where the block of what follows a version line begins and how long it says it is."""
-    end = record.find(_BLANK)
+    """Where the block of what follows MAGIC begins and how long it says it is; none if that is no header."""
+    end = record.find(_BLANK, 0, HEADER + len(_BLANK)) if record.startswith(_VERSIONS) else -1
     found = end >= 0 and _LENGTH.search(record, 0, end + 2)
     return (end + 4, int(found[1])) if found else None
 
 
 def _segments(archives: DataFrame) -> DataFrame:
-    """path, at (of the split), row (in order), bytes: what lies between version lines."""
-    return archives.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("bytes"))
+    """path, at (of the split), bytes: what lies between version lines, in the order of the scan."""
+    return archives.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.col("value").cast("binary").alias("bytes"))
 
 
 def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
@@ -119,27 +122,40 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """path, at, bytes -> for each split its length, and starts and successors of its candidates from its own start.
 
     A candidate's version line follows a blank line, as far as the split can tell. A header in which
-    a version line stands goes on in the next segment.
+    MAGIC stands goes on in the next segment; if that is of the next split, the candidate is "open", and
+    "held" is its header so far. "lead" is what a header that comes from the split before needs of this
+    one: what lies before its first blank line, HEADER bytes at most; "ended" is whether it is not all of it.
     """
-    split, place, starts, after, tail, held = None, 0, [], [], b"", b""
+    split, place, starts, after, tail, held, lead, ended = None, 0, [], [], b"", b"", None, False
 
     def row() -> pa.RecordBatch:
         known = [i for i, x in enumerate(after) if x is not None]
-        return pa.RecordBatch.from_pydict({"path": [split[0]], "at": [split[1]], "length": [place], "starts": [[starts[i] for i in known]], "successors": [[after[i] for i in known]]}, schema=schema)
+        is_open = bool(starts) and after[-1] is None and _BLANK not in held and len(held) < HEADER
+        return pa.RecordBatch.from_pydict(
+            {
+                "path": [split[0]], "at": [split[1]], "length": [place], "starts": [[starts[i] for i in known]], "successors": [[after[i] for i in known]],
+                "open": [starts[-1] if is_open else None], "held": [held if is_open else None], "lead": [lead or b""], "ended": [ended],
+            },
+            schema=_SPLITS,
+        )
 
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("path", pa.string()), ("at", pa.int64()), ("length", pa.int64()), ("starts", longs), ("successors", longs)])
     for path, at, data in _rows(batches, "path", "at", "bytes"):
         if (path, at) != split:
             if split:
                 yield row()
-            split, place, starts, after, tail, held = (path, at), 0, [], [], _BLANK, b""
+            split, place, starts, after, tail, held, lead, ended = (path, at), 0, [], [], _BLANK, b"", None, False
+        if not ended:
+            lead = data if lead is None else lead + _MAGIC + data
+            stop = lead.find(_BLANK)
+            stop = len(lead) if stop < 0 else stop + len(_BLANK)
+            ended = stop < len(lead) or lead.endswith(_BLANK) or stop > HEADER
+            lead = lead[: min(stop, HEADER)]
         if place or at:
             if tail == _BLANK:
                 starts.append(place - len(_MAGIC))
                 after.append(None)
                 held = data
-            else:
+            elif starts and after[-1] is None and len(held) < HEADER:
                 held += _MAGIC + data
             if starts and after[-1] is None and (found := _block(held)):
                 after[-1] = starts[-1] + len(_MAGIC) + sum(found) + len(_BLANK)
@@ -151,6 +167,23 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
+_LONGS = pa.list_(pa.int64())
+_SPLITS = pa.schema([("path", pa.string()), ("at", pa.int64()), ("length", pa.int64()), ("starts", _LONGS), ("successors", _LONGS), ("open", pa.int64()), ("held", pa.binary()), ("lead", pa.binary()), ("ended", pa.bool_())])
+_SPLITS_DDL = "path string, at bigint, length bigint, starts array<bigint>, successors array<bigint>, open bigint, held binary, lead binary, ended boolean"
+
+
+def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Splits of a file from its last to its first -> start and successor of the open candidates whose headers go on as they should."""
+    file, rest = None, b""
+    for path, at, start, held, lead, ended in _rows(batches, "path", "at", "open", "held", "lead", "ended"):
+        if path != file:
+            file, rest = path, None
+        found = start is not None and rest is not None and _block(held + _MAGIC + rest)
+        if found:
+            yield pa.RecordBatch.from_pydict({"path": [path], "at": [at], "start": pa.array([start], pa.int64()), "successor": pa.array([start + len(_MAGIC) + sum(found) + len(_BLANK)], pa.int64())})
+        rest = lead if ended or rest is None else (lead + _MAGIC + rest)[:HEADER]
+
+
 def _exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each candidate of a split where its chain leaves the split; none if it breaks off within it."""
     for path, at, base, length, starts, successors in _rows(batches, "path", "at", "base", "length", "starts", "successors"):
@@ -180,27 +213,31 @@ def _entries(nodes: DataFrame) -> DataFrame:
         stride = stored(stride.join(far, ["path", "next"]).select("path", "start", F.col("far").alias("next")), "warc-stride").hint("merge")
 
 
-_PARTS = "path string, start bigint, head boolean, whole boolean, bytes binary"
+_PARTS = "path string, upto bigint, start bigint, head boolean, bytes binary"
 
 
 def _assembled(wanted: bool):
-    """Segments of splits, in order -> whole records (wanted) or the parts of those that leave their split."""
-    schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("head", pa.bool_()), ("whole", pa.bool_()), ("bytes", pa.binary())])
+    """Segments of splits, in order -> whole records (wanted) or the parts of those that leave their split.
+
+    Parts of one record have the same upto, where it ends: for its beginning that is where the chain
+    leaves the split, for the others where it next enters one.
+    """
+    schema = pa.schema([("path", pa.string()), ("upto", pa.int64()), ("start", pa.int64()), ("head", pa.bool_()), ("bytes", pa.binary())])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, place, expected, begun, held, out, size = None, 0, None, None, b"", [], 0
+        split, place, expected, begun, held, leaves, out, size = None, 0, None, None, b"", None, [], 0
 
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
         def left_over() -> None:
-            if begun is not None and not wanted:
-                out.append((split[0], begun, True, False, held))
+            if begun is not None and not wanted and leaves is not None:
+                out.append((split[0], leaves, begun, True, held))
 
-        for path, at, base, entry, data in _rows(batches, "path", "at", "base", "entry", "bytes"):
+        for path, at, base, entry, next_, until, data in _rows(batches, "path", "at", "base", "entry", "next", "until", "bytes"):
             if (path, at) != split:
                 left_over()
-                split, place, expected, begun, held = (path, at), 0, entry, None, b""
+                split, place, expected, begun, held, leaves = (path, at), 0, entry, None, b"", next_
             start = base + place - len(_MAGIC)
             place += len(data) + len(_MAGIC)
             if begun is not None:
@@ -209,13 +246,13 @@ def _assembled(wanted: bool):
                 begun, held = start, data
             else:  # before the first record of the split
                 if not wanted and (at or start >= 0):
-                    out.append((path, start, False, False, _MAGIC + data))
+                    out.append((path, until, start, False, _MAGIC + data))
                 continue
             found = _block(held)
             if found and len(held) >= sum(found):
                 expected = begun + len(_MAGIC) + sum(found) + len(_BLANK)
                 if wanted:
-                    out.append((path, begun, True, True, held[: sum(found)]))
+                    out.append((path, expected, begun, True, held[: sum(found)]))
                     size += len(held)
                 begun, held = None, b""
             if size > 1 << 22 or len(out) >= 4096:
@@ -230,14 +267,18 @@ def _assembled(wanted: bool):
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        headers, http, payloads = [], [], []
-        for data in batch.column("bytes").to_pylist():
-            begin, size = _block(data)
+        headers, http, payloads, kept = [], [], [], []
+        for i, data in enumerate(batch.column("bytes").to_pylist()):
+            begin, size = _block(data) or (0, len(data) + 1)
+            if len(data) < begin + size:  # the file ends within it
+                continue
+            kept.append(i)
             headers.append(_named(data[: begin - 4]))
             head, blank, payload = data[begin : begin + size].partition(_BLANK)
             http.append(_named(head.partition(b"\r\n")[2]) if blank else [])
             payloads.append(payload if blank else head)
         pairs = pa.map_(pa.string(), pa.string())
+        batch = batch.take(pa.array(kept, pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("start"), pa.array(headers, pairs), pa.array(http, pairs), pa.array(payloads, pa.binary())], ["path", "start", "headers", "http", "payload"])
 
 
@@ -247,33 +288,58 @@ def _named(lines: bytes) -> list[tuple[str, str]]:
     return list({k.decode("utf-8", "replace").strip().lower(): v.decode("utf-8", "replace").strip() for k, _, v in fields}.items())
 
 
+def _placed(archives: DataFrame, entries: DataFrame) -> DataFrame:
+    """Segments in the order of the scan, with the entries of their splits; these are broadcast, ENTRY_ROWS splits at a time at most.
+
+    Several passes read different files each: which, is told by the file's name alone, before it is opened.
+    """
+    passes = max(1, -(-entries.count() // ENTRY_ROWS))
+    turn = lambda path: F.pmod(F.xxhash64(path), F.lit(passes))
+    out = None
+    for i in range(passes):
+        own, held = _segments(archives), entries
+        if passes > 1:
+            own, held = _segments(archives.where(turn(F.col("_metadata.file_path")) == i)), entries.where(turn(F.col("path")) == i)
+        part = own.join(F.broadcast(held), ["path", "at"])
+        out = part if out is None else out.unionByName(part)
+    return out.select("path", "at", "base", "entry", "next", "until", "torn", "bytes")
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """path, start, headers, http (maps by lower-case name), payload: the records of the files below path.
+    """path, start, headers, http (maps by lower-case name), payload: the records of the files below path, of WARC/1.0 and 1.1.
 
     Files are read from their start: one that does not begin with a record has none, and one that
-    breaks off, or whose lengths are wrong, has those up to there, as has one in which a split ends
-    within a header that holds a version line. Payloads are read twice and shuffled never, but for
-    records that reach over a split and hold a version line themselves.
+    breaks off, or whose lengths are wrong, has those up to there. An empty folder has no records, and
+    equal records are rows of their own. Headers have HEADER bytes at most; payloads may have any
+    length, and be empty. Payloads are read twice and shuffled never, but for records that reach over a
+    split and hold a version line themselves: their parts meet by record.
     """
+    prepare(spark)
     archives = spark.read.option("lineSep", MAGIC).text(path)
-    longs = "array<bigint>"
-    splits = stored(_segments(archives).select("path", "at", "bytes").mapInArrow(_candidates, f"path string, at bigint, length bigint, starts {longs}, successors {longs}"), "warc-splits")
+    splits = stored(_segments(archives).select("path", "at", "bytes").mapInArrow(_candidates, _SPLITS_DDL), "warc-splits")
     before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    bases = stored(splits.select("path", "at", "length").withColumn("base", F.coalesce(F.sum("length").over(before), F.lit(0))), "warc-bases")
-    chained = splits.hint("merge").select("path", "at", "starts", "successors").join(bases, ["path", "at"]).select("path", "at", "base", "length", "starts", "successors")
-    nodes = stored(chained.mapInArrow(_exits, "path string, at bigint, start bigint, next bigint"), "warc-nodes")
+    bases = stored(splits.select("path", "at", "length").withColumn("base", F.coalesce(F.sum("length").over(before), F.lit(0))), "warc-bases", few=True)
+    chained = splits.hint("merge").join(bases.select("path", "at", "base"), ["path", "at"])
+    if splits.where(F.col("open").isNotNull()).limit(1).count():
+        backwards = splits.select("path", "at", "open", "held", "lead", "ended").repartition("path").sortWithinPartitions("path", F.col("at").desc())
+        closed = backwards.mapInArrow(_closed, "path string, at bigint, start bigint, successor bigint")
+        more = lambda list_, one: F.when(F.col("start").isNull(), F.col(list_)).otherwise(F.concat(list_, F.array(one))).alias(list_)
+        chained = chained.join(closed, ["path", "at"], "left").select("path", "at", "base", "length", more("starts", "start"), more("successors", "successor"))
+    nodes = stored(chained.select("path", "at", "base", "length", "starts", "successors").mapInArrow(_exits, "path string, at bigint, start bigint, next bigint"), "warc-nodes", few=True)
     entries = bases.join(_entries(nodes), ["path", "at"], "left")
-    entries = stored(entries, "warc-entries")
-    torn = entries.where(F.col("next") > F.col("base") + F.col("length") - len(MAGIC)).select("path").distinct()
-    placed = _segments(archives).join(entries.select("path", "at", "base", "entry"), ["path", "at"])
-    assemble = lambda rows, wanted: rows.select("path", "at", "row", "base", "entry", "bytes").sortWithinPartitions("path", "at", "row").mapInArrow(_assembled(wanted), _PARTS)
-    records = assemble(placed, True).select("path", "start", "bytes")
-    if torn.limit(1).count():
-        parts = assemble(placed.join(torn, "path", "left_semi"), False)
-        of = F.last(F.when(F.col("head"), F.col("start")), ignorenulls=True).over(Window.partitionBy("path").orderBy("start"))
-        whole = parts.withColumn("of", of).where(F.col("of").isNotNull()).groupBy("path", "of").agg(F.array_sort(F.collect_list(F.struct("start", "bytes"))).alias("parts"))
-        joined = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["bytes"]))
-        records = records.unionByName(whole.select("path", F.col("of").alias("start"), joined.alias("bytes")))
+    end = F.col("base") + F.col("length") - len(MAGIC)
+    after = Window.partitionBy("path").orderBy("at").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    whole = Window.partitionBy("path")
+    until = F.coalesce(F.first("entry", ignorenulls=True).over(after), F.max(end).over(whole))
+    torn = F.coalesce(F.max(F.col("next") > end).over(whole), F.lit(False))
+    entries = stored(entries.select("path", "at", "base", "entry", "next", until.alias("until"), torn.alias("torn")), "warc-entries", few=True)
+    placed = _placed(archives, entries)
+    records = placed.mapInArrow(_assembled(True), _PARTS).select("path", "start", "bytes")
+    if entries.where("torn").limit(1).count():
+        parts = placed.where("torn").mapInArrow(_assembled(False), _PARTS)
+        joined = F.aggregate(F.array_sort(F.collect_list(F.struct("start", "bytes"))), F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["bytes"]))
+        met = parts.groupBy("path", "upto").agg(F.min(F.when(F.col("head"), F.col("start"))).alias("start"), joined.alias("bytes"))
+        records = records.unionByName(met.where(F.col("start").isNotNull()).select("path", "start", "bytes"))
     return records.mapInArrow(_parsed, "path string, start bigint, headers map<string,string>, http map<string,string>, payload binary")
 
 
