@@ -1,5 +1,6 @@
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,9 +20,31 @@ def test_spellings_of_whole_texts(spark):
     assert rows == {1: "MIT", 2: "MIT", 3: "MIT", 4: None, 5: "BSD-2-Clause", 6: "Unlicense", 7: "BSL-1.0"}
 
 
+HOLDERS = [
+    "Copyright (c) Microsoft Corporation. All rights reserved.", "Copyright Jane Doe 2020", "Copyright (c) Jane Doe", "Copyright (C) the Foo authors", "Portions Copyright (c) 2010 Y",
+    "SPDX-License-Identifier: MIT", "© 2001-2024, Some One <one@example.org>", "Copyright 2015 by A, B and C", "SPDX-FileCopyrightText: 2019 Jane Doe\n(c) Jane Doe\nAll rights reserved.",
+]
+
+
+def test_holders_wrapping_and_sql(spark, tmp_path):
+    """Whole texts under any line that names a holder, wrapped at any width; and the SQL's rows on the same table."""
+    mit, bsd = licences.TEXTS["MIT"].strip(), licences.TEXTS["BSD-3-Clause"].strip()
+    wrap = lambda text, n: "\n".join(" ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    rows = [("MIT", f"MIT License\n\n{holder}\n\n{mit}") for holder in HOLDERS] + [("BSD-3-Clause", f"{holder}\n{bsd}") for holder in HOLDERS]
+    rows += [(k, f"{HOLDERS[1]}\n{wrap(text, n)}") for k, text in (("MIT", mit), ("BSD-3-Clause", bsd)) for n in range(3, 24)]
+    rows += [(None, mit.replace("free of charge", "for a fee")), (None, None), ("MIT", mit.replace("sublicense", "sub-licence").replace("copyright holder", "Copyright Owner"))]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = licences.scan_licences(docs).collect()
+    assert {r.doc_id: r.license for r in found} == {i: k for i, (k, _) in enumerate(rows)}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(map(str, db.execute(licences.SQL).fetchall())) == sorted(str(tuple(r)) for r in found)
+
+
 @pytest.mark.skipif(not os.path.isdir(COMMON), reason="no copies of the texts on this machine")
 def test_longer_texts(spark):
-    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    files = {"Apache-2.0": "Apache-2.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3"}
     rows = []
     for name, licence in files.items():
         with open(f"{COMMON}/{name}", encoding="utf-8") as f:

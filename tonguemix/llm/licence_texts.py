@@ -83,24 +83,73 @@ TITLES = {
     "Unlicense": ("The Unlicense",),
 }
 
-# Canonical digests of longer licences, from copies in Debian's common-licenses and Rust's documents: the whole, what
-# precedes its appendix with and without the line that ends the terms, and Apache's with its copyright line filled in.
-# The two copies of GPL-2.0 differ in wording.
+# Canonical digests of longer licences, from copies in Debian's common-licenses and Rust's documents: the whole, and
+# what precedes its appendix with and without the line that ends the terms. Copies that differ in wording have digests of their own.
 DIGESTS = {
     "Apache-2.0": (
-        "04fe0fc2f415992e7488c2bf337adf17d3e56b48cfa588204cf5e0a98c897e5e", "4c21ad0d65e54025eff9401b5ea60ff6cb7ba163b9c645ca502d8cd14cbd604b",
-        "0f5cfa8e67a0ac44159083ab2792fc6ad422d8df6279fb4654538989c6a5cc28", "c3a44a4f3ab780a68b8cb0a2c4d5e5c38caad2b2ba378422a3e9169729b52022",
+        "adf220ee02537f83220e088f4488ca0e7557d614fac1cc48967b41d13911d6e0",
+        "9446b99128ec9c3946adbb681853599f3a5f01a69d6c0762a9d0ab699868d801",
+        "c46dfd45ed4a19fe4a99eaed08590a0c093e3a0b73c293ece466f468b902aff3",
+        "bb531182159142b308d308fe34391e6848d93f2a2ed991087b686ec75f9dbb1d",
+        "c348fad4100086120c9a4f71602579f6f49d5ca97ae96d36cf377b10e6e79871",
+        "c936c3be4c0e23ce771b851922c44c2c6bbb0fb8c42f59ae99cf57ebd223697c",
+    ),
+    "GPL-1.0": (
+        "80188d2eb86384574b90534ba98aa2e4373d868aeb5f6323b35189e4b2b5d318",
+        "7843068060f4d9ee30736221ce49abf6cb7dafa9b775fabb47fbf0c21e05b102",
+        "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70",
+        "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc",
     ),
     "GPL-2.0": (
-        "fca9d0597eee5ef85465916ba61b41fd1ec4ba0a53efd599baa65c1a5b426a9b", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34", "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808",
-        "0c6226b8b57584fa365889445736057eb0dda8f8d24b0ff4ec1cf59998ac5656", "c2eea7a9d82a254e540a96d8107801d93d00bcef2742a78b7e8e8d0c0efcbd1c", "031ce0347a7bfaa9fea9fb34dc0def0f70d366e9b6aeab50cf9537178d0d9d50",
+        "fca9d0597eee5ef85465916ba61b41fd1ec4ba0a53efd599baa65c1a5b426a9b",
+        "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34",
+        "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808",
+        "2e1c900a1a46ef3d17dc18bf13da6d3fe5cfa07d3c396453db425e07a3bf0980",
+        "c2eea7a9d82a254e540a96d8107801d93d00bcef2742a78b7e8e8d0c0efcbd1c",
+        "031ce0347a7bfaa9fea9fb34dc0def0f70d366e9b6aeab50cf9537178d0d9d50",
+    ),
+    "GPL-3.0": (
+        "789cfdaa68e3e7b25001092df47b2616af9d2361910cd86a6291d51a6cef4c9f",
+        "92f86bbf16b3c7beaf4c1a82ea5d81b358634e9123c8790121ec9fe76310a506",
+        "1d243e2f686217287f22005b96a11843e555353b8f4a92eea0ec5f532d924007",
+    ),
+    "LGPL-2.0": (
+        "289c8b47fa0ec7e5f22cd33d32feaa06f015b0f2fdb9ad916979b1011ca8c015",
+        "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260",
+        "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2",
+    ),
+    "LGPL-2.1": (
+        "5ddd6039d3b090c51328879800301dd19b1ad99e14d00f3c6f221ab45a32db57",
+        "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4",
+        "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df",
+    ),
+    "LGPL-3.0": (
+        "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    ),
+    "MPL-1.1": (
+        "9f6e24c0f4d8a8c8a818e9c0ea99147dc58b1373d99fa7bebf6482dedfaee7a7",
+    ),
+    "MPL-2.0": (
+        "797da5d4e9dafcb728632460f1b236d20d0aa8b1f838aa5911bd9f74276d611e",
     ),
-    "GPL-3.0": ("ae4b99738073ffde61412ab13252e0ed47e0d29b0cd510ed5c8d9a494f7c159d", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636", "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191"),
-    "LGPL-3.0": ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",),
-    "MPL-2.0": ("797da5d4e9dafcb728632460f1b236d20d0aa8b1f838aa5911bd9f74276d611e",),
-    "CC0-1.0": ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",),
-    "CC-BY-SA-4.0": ("6fd32d7fe30fa66c101714769c97e3e375bdf90cc19532508e2dfb4d98a92a9d",),
-}
+    "CC0-1.0": (
+        "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    ),
+    "GFDL-1.2": (
+        "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60",
+        "84f3c9e8cdded0036378e7e6eb92ac6570731434d2fc46027f259264dc16501e",
+    ),
+    "GFDL-1.3": (
+        "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826",
+        "ccfa2750c2a3b9dae93f959cfa64078cc3a306c4a4cd4cfaf18365396202da90",
+    ),
+    "Artistic-1.0-Perl": (
+        "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",
+    ),
+    "CC-BY-SA-4.0": (
+        "49259de2e41746a2de3ac8abe98d6effcc752e1bb462ce8dae8c86b9d34d94bc",
+    ),
+}
 
 # Names in notices of one line, by SPDX identifier, and what leads in to them.
 NAMES = {

@@ -14,22 +14,32 @@ from pyspark.sql import functions as F
 
 from .licence_texts import DIGESTS, LEADS, NAMES, RESERVED, TEXTS, TITLES
 
-#: Spellings that count as equal, after case and punctuation are gone.
-EQUAL = (("copyright copyright", "copyright"), ("licence", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("organisation", "organization"), ("recognise", "recognize"), ("acknowledgement", "acknowledgment"), ("per cent", "percent"), ("https", "http"))
-COPYRIGHT_LINE = "^copyright ([0-9]{4}|by |c |year )|^copyright$|^all rights reserved"
+#: Spellings of words and names that count as equal, after case and punctuation are gone. They are replaced in this order, as whole words.
+EQUAL = (
+    ("copyright copyright", "copyright"), ("licence", "license"), ("licences", "licenses"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"),
+    ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"), ("calibre", "caliber"),
+    ("cancelled", "canceled"), ("catalogue", "catalog"), ("categorise", "categorize"), ("centre", "center"), ("copyright owner", "copyright holder"), ("emphasised", "emphasized"), ("favour", "favor"),
+    ("favourite", "favorite"), ("fulfil", "fulfill"), ("fulfilment", "fulfillment"), ("https", "http"), ("initialise", "initialize"), ("judgement", "judgment"), ("labelling", "labeling"), ("labour", "labor"),
+    ("maximise", "maximize"), ("modelled", "modeled"), ("modelling", "modeling"), ("offence", "offense"), ("optimise", "optimize"), ("organisation", "organization"), ("organise", "organize"), ("per cent", "percent"),
+    ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
+)
+#: Lines that name a holder or a licence and are no part of a text, and lines of prose that begin like them.
+ASIDE = "^(portions )?copyrights?( |$)|^all rights reserved|^spdx (license|file|copyright)"
+PROSE = "^(portions )?copyrights? (notices?|holders?|laws?|licenses?|and|or|in|on|is|are|to|of|a|an|under|as|statements?|interests?|disclaimers?|treaty|protection|permission|status|for|if|that|this|the software|the program|the work|ownership|rights?|may|claim|with)( |$)"
 
 
 def canonical_lines(text: Column) -> Column:
     """Lines in lower case, of letters and digits parted by single spaces, in equal spellings; none is empty."""
     marked = F.replace(F.replace(F.lower(text), F.lit("(c)"), F.lit("copyright")), F.lit("©"), F.lit("copyright"))
-    flat = F.regexp_replace(marked, r"[^\p{L}\p{N}\n]+", " ")
-    spelled = reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), EQUAL, flat)
+    flat = F.replace(F.regexp_replace(marked, r"[^\p{L}\p{N}\n]+", " "), F.lit("\n"), F.lit(" \n "))
+    padded = F.replace(F.concat(F.lit(" "), flat, F.lit(" ")), F.lit("  "), F.lit(" "))
+    spelled = reduce(lambda t, pair: F.replace(t, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), EQUAL, padded)
     return F.filter(F.transform(F.split(spelled, "\n"), lambda line: F.trim(line)), lambda line: line != "")
 
 
 def canonical_text(lines: Column) -> Column:
-    """One string of all lines but those of copyright."""
-    return F.array_join(F.filter(lines, lambda line: ~line.rlike(COPYRIGHT_LINE)), " ")
+    """One string of all lines but those that only name a holder or a licence."""
+    return F.array_join(F.filter(lines, lambda line: ~line.rlike(ASIDE) | line.rlike(PROSE)), " ")
 
 
 def notices() -> list[tuple[str, str]]:
@@ -59,7 +69,7 @@ def scan_licences(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame
     license is the known licence that the whole text is, else null; notices are the identifiers, in
     order, once each, comma-joined, of lines that are known notices. A null or empty text has the
     digest of nothing and neither; null ids and repeated rows pass through; an empty table gives no
-    rows. Texts are not shuffled.
+    rows. Texts of any length are digested whole and not shuffled.
     """
     known = known_digests(docs.sparkSession)
     wholes = known.where("whole").groupBy("digest").agg(F.min("license").alias("license"))
@@ -74,14 +84,17 @@ def scan_licences(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame
 
 def _sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    spelled = reduce(lambda t, pair: f"replace({t}, '{pair[0]}', '{pair[1]}')", EQUAL, r"regexp_replace(replace(replace(lower(text), '(c)', 'copyright'), '©', 'copyright'), '[^\p{L}\p{N}\n]+', ' ', 'g')")
+    padded = r"replace(' ' || replace(regexp_replace(replace(replace(lower(text), '(c)', 'copyright'), '©', 'copyright'), '[^\p{L}\p{N}\n]+', ' ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' ', '  ', ' ')"
+    spelled = reduce(lambda t, pair: f"replace({t}, ' {pair[0]} ', ' {pair[1]} ')", EQUAL, padded)
     lines = f"list_filter(list_transform(string_split({spelled}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')"
+    whole = f"sha256(array_to_string(list_filter(lines, lambda x: NOT regexp_matches(x, '{ASIDE}') OR regexp_matches(x, '{PROSE}')), ' '))"
     values = ", ".join(f"({quoted(k)}, {quoted(t)}, {w})" for w, rows in (("true", whole_texts()), ("false", notices())) for k, t in rows)
+    given = ", ".join(f"({quoted(k)}, {quoted(x)})" for k, xs in DIGESTS.items() for x in xs)
     return rf"""
 WITH known AS (
   SELECT k, whole, {lines} AS lines FROM (VALUES {values}) AS v(k, text, whole)
 ), wholes AS (
-  SELECT sha256(array_to_string(list_filter(lines, lambda x: NOT regexp_matches(x, '{COPYRIGHT_LINE}')), ' ')) AS digest, min(k) AS license FROM known WHERE whole GROUP BY 1
+  SELECT digest, min(k) AS license FROM (SELECT k, {whole} AS digest FROM known WHERE whole UNION ALL SELECT k, digest FROM (VALUES {given}) AS g(k, digest)) GROUP BY 1
 ), notice AS (
   SELECT array_to_string(lines, ' ') AS line, min(k) AS license FROM known WHERE NOT whole GROUP BY 1
 ), d AS (
@@ -89,7 +102,7 @@ WITH known AS (
 ), n AS (
   SELECT row, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT row, unnest(lines) AS line FROM d) u JOIN notice USING (line) GROUP BY row
 ), t AS (
-  SELECT row, doc_id, sha256(array_to_string(list_filter(lines, lambda x: NOT regexp_matches(x, '{COPYRIGHT_LINE}')), ' ')) AS text_digest FROM d
+  SELECT row, doc_id, {whole} AS text_digest FROM d
 )
 SELECT doc_id, text_digest, license, coalesce(notices, '') AS notices
 FROM t LEFT JOIN wholes ON text_digest = digest LEFT JOIN n USING (row)
