@@ -73,6 +73,8 @@ def test_presence_counts_and_sampling(spark):
     assert {r["sample"] for r in tokens.sampled(ten, 4, 99).collect()} == set(range(6))
     short = tokens.sampled(items(spark, ["abc"]), 4, 5).collect()
     assert [(r["sample"], bytes(r["data"])) for r in short] == [(0, b"abc")]
+    sets = {tuple(sorted(r["sample"] for r in tokens.sampled(ten, 4, 2, seed=s).collect())) for s in range(60)}
+    assert all(len(x) == 2 for x in sets) and len(sets) >= 12  # of 15
     two = [tuple(r) for r in tokens.sampled(ten, 4, 2, seed=3).orderBy("sample").collect()]
     assert len(two) == 2 and two == [tuple(r) for r in tokens.sampled(ten, 4, 2, seed=3).orderBy("sample").collect()]
 

@@ -1,5 +1,6 @@
 """Readers, sinks, streaming, the command line, and every registered query."""
 
+import io
 import json
 
 import pytest
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tonguemix import cli
-from tonguemix.operators import corpus, model
+from tonguemix.operators import corpus, matching, model
+from tonguemix.operators import detect as detection
 from tonguemix.plans import registry, train
 from tonguemix.sources import corpora, sinks
 from tonguemix.streaming import lines
@@ -136,3 +138,55 @@ def test_min_domain_over_all_documents(spark, tmp_path):
     assert {r.doc_id for r in kept} == {i for i, _, lang in rows if lang == "en" or lang == "fr"}
     index = {r.domain: r.n_docs for r in registry.QUERIES["min_domain_index_documents"](spark, str(tmp_path)).collect()}
     assert index == {d: sum(x[1] == d and x[2] in ("en", "fr") for x in rows) for d in {x[1] for x in rows}}
+
+
+def test_hidden_files_are_named(spark, folder):
+    for name in ("d1/en/_x.txt", "d1/en/.y.txt", "_d/en/z.txt"):
+        path = folder / "corpus" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("hidden")
+    assert [p.split("/corpus/")[1] for p in corpora.hidden_files(spark, str(folder / "corpus"))] == ["_d/en/z.txt", "d1/en/.y.txt", "d1/en/_x.txt"]
+    assert corpora.read_directory(spark, str(folder / "corpus")).count() == len(TEXTS)
+
+
+def test_model_as_a_string(spark, folder):
+    built = trained(spark, folder)
+    again = model.Model.from_string(spark, built.to_string())
+    texts = corpora.read_directory(spark, str(folder / "corpus"))
+    assert sorted(map(str, detection.detect(texts, again.detector()).collect())) == sorted(map(str, detection.detect(texts, built.detector()).collect()))
+
+
+def test_features_beyond_the_limit_are_joined(spark, folder, monkeypatch):
+    built, texts = trained(spark, folder), corpora.read_directory(spark, str(folder / "corpus"))
+    index = corpus.index_corpus(texts)
+    forms = lambda: [sorted(map(str, df.collect())) for df in (matching.feature_terms(texts, built.features), matching.document_features(texts, built.features), matching.class_totals(index.items, built.features))]
+    short = forms()
+    monkeypatch.setattr(matching, "MATCHER_LIMIT", 5)
+    assert matching.feature_list(built.features) is None and forms() == short
+
+
+def test_totals_are_flushed(spark, folder, monkeypatch):
+    built, items = trained(spark, folder), corpus.index_corpus(corpora.read_directory(spark, str(folder / "corpus"))).items
+    whole = sorted(map(tuple, matching.class_totals(items, built.features).collect()))
+    monkeypatch.setattr(matching, "HELD", 1)
+    assert sorted(map(tuple, matching.class_totals(items, built.features).collect())) == whole
+
+
+class _Input(io.StringIO):
+    def __init__(self, text, tty=False):
+        super().__init__(text)
+        self.buffer, self.tty = io.BytesIO(text.encode()), tty
+
+    def isatty(self):
+        return self.tty
+
+
+@pytest.mark.parametrize(("options", "tty", "answers"), [([], False, 1), (["--line"], False, 2), ([], True, 2)])
+def test_standard_input(spark, folder, monkeypatch, capsys, options, tty, answers):
+    """All of it as one document, line by line, and asked for at a terminal; each answer is a line."""
+    built = trained(spark, folder)
+    built.save(str(folder / "model"))
+    monkeypatch.setattr("sys.stdin", _Input("the cat and the dog\nund der hund\n", tty))
+    cli.main(["detect", "-m", str(folder / "model"), *options])
+    out = [x for x in capsys.readouterr().out.replace(">>> ", "").splitlines() if x]
+    assert len(out) == answers and "en" in out[0] and (answers == 1 or "de" in out[1])

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import hash_share
 
+#: Names up to which a dictionary is broadcast.
+BROADCAST_ROWS = 100_000
+
 
 @dataclass
 class CorpusIndex:
@@ -51,6 +54,12 @@ def dictionary(names: DataFrame, column: str, given: list[str] | None, id_name:
     return distinct.select((F.row_number().over(Window.orderBy(column)) - 1).alias(id_name), column)
 
 
+def _small(index: DataFrame, items: DataFrame, column: str, given: list[str] | None) -> DataFrame:
+    """A dictionary to be joined: broadcast if it is known to be short, else as Spark decides."""
+    n = len(given) if given is not None else items.select(column).distinct().limit(BROADCAST_ROWS + 1).count()
+    return F.broadcast(index) if n <= BROADCAST_ROWS else index
+
+
 def _counted(index: DataFrame, items: DataFrame, column: str, id_name: str) -> DataFrame:
     counts = items.groupBy(column).agg(F.count("*").alias("n_docs"))
     return index.join(counts, column, "left").select(id_name, column, F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
@@ -72,7 +81,7 @@ def index_corpus(items: DataFrame, *, langs: list[str] | None = None, domains: l
         langs = [x for x in langs if x not in gone]
     lang_index = dictionary(kept, "lang", langs, "lang_id")
     domain_index = dictionary(seen, "domain", domains, "domain_id")
-    numbered = kept.join(F.broadcast(lang_index), "lang").join(domain_index, "domain")
+    numbered = kept.join(_small(lang_index, kept, "lang", langs), "lang").join(_small(domain_index, seen, "domain", domains), "domain")
     return CorpusIndex(numbered, _counted(lang_index, kept, "lang", "lang_id"), _counted(domain_index, kept, "domain", "domain_id"))
 
 

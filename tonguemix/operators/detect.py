@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shipping import ship_package
 from .grams import Matcher
 
 
@@ -108,6 +109,7 @@ def _by_text(items: DataFrame, schema: str, columns) -> DataFrame:
             values = columns(batch.column("data").to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | values)
 
+    ship_package(items.sparkSession)
     return items.select("doc_id", "data").mapInArrow(run, f"doc_id {kind}, {schema}")
 
 

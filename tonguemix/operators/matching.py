@@ -12,10 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shipping import ship_package
 from .grams import Matcher
-
-#: Features up to which the list goes to every task; beyond, substrings are joined with it.
-MATCHER_LIMIT = 1_000_000
+from .tokens import HELD, MATCHER_LIMIT, Scanner, term_counts
 
 
 def feature_list(features: DataFrame) -> list[bytes] | None:
@@ -52,6 +51,7 @@ def document_features(items: DataFrame, features: DataFrame) -> DataFrame:
                 taken = batch.column("doc_id").take(pa.array(np.concatenate(docs)))
                 yield pa.RecordBatch.from_arrays([taken, pa.array(np.concatenate(ids), pa.int32()), pa.array(np.concatenate(n), pa.int64())], ["doc_id", "feature_id", "tf"])
 
+    ship_package(items.sparkSession)
     kind = items.schema["doc_id"].dataType.simpleString()
     return items.select("doc_id", "data").mapInArrow(count, f"doc_id {kind}, feature_id int, tf bigint")
 
@@ -64,15 +64,35 @@ def class_totals(items: DataFrame, features: DataFrame, by: str = "lang_id") ->
         return found.join(items.select("doc_id", by), "doc_id").groupBy("feature_id", by).agg(F.sum("tf").alias("n"))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, sums = Matcher(terms), {}
+        matcher, held, waiting = Matcher(terms), {}, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for key, parts in held.items():
+                own, place = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+                n = np.bincount(place, np.concatenate([t for _, t in parts]), len(own)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([key] * len(own), kind), pa.array(n, pa.int64())], ["feature_id", by, "n"])
+            held.clear()
+
         for batch in batches:
             kind = batch.schema.field(by).type
             for key, text in zip(batch.column(by).to_pylist(), batch.column("data").to_pylist(), strict=True):
-                own, times = matcher.count(text)
-                np.add.at(sums.setdefault(key, np.zeros(matcher.size, np.int64)), own, times)
-        for key, n in sums.items():
-            own = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([key] * len(own), kind), pa.array(n[own], pa.int64())], ["feature_id", by, "n"])
-
+                found = matcher.count(text)
+                held.setdefault(key, []).append(found)
+                waiting += len(found[0])
+                if waiting > HELD:
+                    yield from flush()
+                    waiting = 0
+        yield from flush()
+
+    ship_package(items.sparkSession)
     kind_name = items.schema[by].dataType.simpleString()
     return items.select(by, "data").mapInArrow(total, f"feature_id int, {by} {kind_name}, n bigint").groupBy("feature_id", by).agg(F.sum("n").alias("n"))
+
+
+def feature_terms(items: DataFrame, features: DataFrame, by: str = "lang") -> DataFrame:
+    """term, by, n: in how many documents of a class each feature occurs; a list of any length."""
+    terms = feature_list(features)
+    if terms is not None:
+        return term_counts(items, Scanner(terms), by)
+    found = match_rows(items, features).join(items.select("doc_id", by), "doc_id").groupBy("feature_id", by).agg(F.count("*").alias("n"))
+    return found.join(features.select("feature_id", "term"), "feature_id").select("term", by, "n")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import bz2
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,9 +16,17 @@ from .detect import Detector
 
 
 def number_features(terms: DataFrame) -> DataFrame:
-    """feature_id, term: ids in order of the terms' bytes. A list of features, so one window over it."""
-    distinct = terms.select("term").distinct()
-    return distinct.select((F.row_number().over(Window.orderBy("term")) - 1).alias("feature_id"), "term")
+    """feature_id, term: ids in order of the terms' bytes.
+
+    Terms are numbered within their first two bytes, from where those before end; only counts by two
+    bytes, some 66,000 at most, meet in one task.
+    """
+    distinct = terms.select("term", F.substring("term", 1, 2).alias("lead")).distinct()
+    before = Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = distinct.groupBy("lead").agg(F.count("*").alias("n")).select("lead", (F.sum("n").over(before) - F.col("n")).alias("start"))
+    within = F.row_number().over(Window.partitionBy("lead").orderBy("term")) - 1
+    placed = distinct.withColumn("within", within).join(F.broadcast(starts), "lead")  # bounded, see above
+    return placed.select((F.col("start") + F.col("within")).cast("int").alias("feature_id"), "term")
 
 
 def inverse_language_frequency(features: DataFrame, ftc: DataFrame) -> DataFrame:
@@ -60,6 +71,23 @@ class Model:
         for name in ("features", "prototypes", "langs"):
             getattr(self, name).coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
 
+    def to_string(self) -> str:
+        """The whole model as printable text: a small model may so be kept in a program or a setting."""
+        tables = {name: {"columns": df.schema.simpleString()[7:-1], "rows": [[x.hex() if isinstance(x, (bytes, bytearray)) else x for x in r] for r in df.collect()]} for name, df in (("features", self.features), ("prototypes", self.prototypes), ("langs", self.langs))}
+        return base64.b64encode(bz2.compress(json.dumps(tables).encode())).decode()
+
+    @classmethod
+    def from_string(cls, spark: SparkSession, text: str) -> Model:
+        tables = json.loads(bz2.decompress(base64.b64decode(text)))
+
+        def table(name: str) -> DataFrame:
+            columns = tables[name]["columns"]
+            binary = [c.endswith(":binary") for c in columns.split(",")]
+            rows = [tuple(bytes.fromhex(x) if b else x for x, b in zip(r, binary, strict=True)) for r in tables[name]["rows"]]
+            return spark.createDataFrame(rows, columns)
+
+        return cls(table("features"), table("prototypes"), table("langs"))
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Model:
         return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("features", "prototypes", "langs")])

@@ -14,12 +14,15 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import as_latin1, words
+from ..plans.shipping import ship_package
 from .grams import WIDEST, Matcher, as_bytes, is_space, windows
 
+#: Features up to which a list of them goes to every task; beyond, it is joined with.
+MATCHER_LIMIT = 1_000_000
 #: Numbers held back in a task before its counts are summed up and sent on.
 HELD = 1 << 22
 
@@ -106,7 +109,7 @@ class Scanner:
     def rows(self, items: DataFrame) -> DataFrame:
         found = _positions(items, sorted({len(f) for f in self.features if f}) or [1], 1)
         known = items.sparkSession.createDataFrame([(f,) for f in self.features], "term binary")
-        return found.join(F.broadcast(known), "term", "left_semi").drop("data")
+        return found.join(F.broadcast(known) if len(self.features) <= MATCHER_LIMIT else known, "term", "left_semi").drop("data")
 
     def distinct(self, text: bytes):
         yield {self.features[i] for i in self.matcher.count(text)[0].tolist()}
@@ -115,17 +118,22 @@ class Scanner:
 def sampled(items: DataFrame, size: int = 140, count: int | None = None, seed: int = 0) -> DataFrame:
     """items with data cut into samples: up to count distinct places of each text, size bytes from each.
 
-    Places run from 0 to just below length - size, or are 0 alone. Which are taken follows from
-    doc_id, place and seed. Without a count, whole texts. Adds the column sample (the place).
+    Places run from 0 to just below length - size, or are 0 alone. Every set of count places is as
+    likely (Floyd's way of drawing, a step for each sample and none for the other places); which it is
+    follows from doc_id and seed. Without a count, whole texts. Adds the column sample (the place).
     """
     if not count:
         return items.withColumn("sample", F.lit(None).cast("int"))
-    places = F.greatest(F.lit(1), F.length("data") - size)
-    ranked = items.withColumn("sample", F.explode(F.sequence(F.lit(0), places - 1)))
-    order = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("sample").cast("string"), F.lit(str(seed))))
-    # Ranks need no text: only the places that are taken meet it again.
-    chosen = ranked.select("doc_id", "sample", order.alias("order")).withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("order", "sample"))).where(F.col("rank") <= count)
-    return items.join(chosen.select("doc_id", "sample"), "doc_id").withColumn("data", F.col("data").substr(F.col("sample") + 1, F.lit(size)))
+    places = F.greatest(F.lit(1), F.length("data") - size).cast("long")
+
+    def draw(taken: Column, last: Column) -> Column:
+        digits = F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), last.cast("string"), F.lit(str(seed)))), 1, 15)
+        place = F.conv(digits, 16, 10).cast("long") % (last + 1)
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, place), last).otherwise(place)))
+
+    steps = F.sequence(places - F.least(places, F.lit(count)), places - 1)
+    drawn = F.aggregate(steps, F.array().cast("array<bigint>"), draw)
+    return items.withColumn("sample", F.explode(drawn.cast("array<int>"))).withColumn("data", F.col("data").substr(F.col("sample") + 1, F.lit(size)))
 
 
 def token_rows(items: DataFrame, tokenizer: Tokenizer) -> DataFrame:
@@ -167,6 +175,7 @@ def term_counts(items: DataFrame, tokenizer: Tokenizer, by: str = "lang") -> Dat
                     waiting = 0
         yield from flush()
 
+    ship_package(items.sparkSession)
     kind_name = items.schema[by].dataType.simpleString()
     partial = items.select(by, "data").mapInArrow(count, f"term binary, {by} {kind_name}, n bigint")
     return partial.groupBy("term", by).agg(F.sum("n").alias("n"))

@@ -109,8 +109,9 @@ WORDS = f"""runs AS (SELECT key, lang, i, x, sum(CASE WHEN x IN {SPACES} THEN 1
 words AS (SELECT key, lang, string_agg(x, '' ORDER BY i) AS term FROM runs WHERE x NOT IN {SPACES} GROUP BY key, lang, run)"""
 SAMPLES, SAMPLE = 2, 140
 SAMPLED = f"""pos AS (SELECT key, lang, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM doc),
-place AS (SELECT key, unnest(range(greatest(1, n - {SAMPLE}))) AS p FROM pos),
-chosen AS (SELECT key, p FROM (SELECT key, p, row_number() OVER (PARTITION BY key ORDER BY md5(key || ':' || p || ':0'), p) AS rank FROM place) WHERE rank <= {SAMPLES}),
+place AS (SELECT key, greatest(1, n - {SAMPLE}) AS places FROM pos),
+step AS (SELECT key, list_transform(range(places - least(places, {SAMPLES}), places), lambda j: [j, ('0x' || substr(md5(key || ':' || j || ':0'), 1, 15))::BIGINT % (j + 1)]) AS steps FROM place),
+chosen AS (SELECT key, unnest(list_reduce(steps, lambda taken, x: list_append(taken, CASE WHEN list_contains(taken, x[2]) THEN x[1] ELSE x[2] END), []::BIGINT[])) AS p FROM step),
 cut AS (SELECT key || ':' || p AS key, lang, regexp_extract_all(substr(h, (2 * p + 1)::INT, {2 * SAMPLE}), '..') AS xs FROM chosen JOIN pos USING (key)),
 cut_byte AS (SELECT key, lang, len(xs) AS len, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM cut),
 cut_gram AS (SELECT key, lang, len, x AS g1, x || lead(x, 1) OVER w AS g2, x || lead(x, 1) OVER w || lead(x, 2) OVER w AS g3, x || lead(x, 1) OVER w || lead(x, 2) OVER w || lead(x, 3) OVER w AS g4 FROM cut_byte WINDOW w AS (PARTITION BY key ORDER BY i)),

@@ -211,8 +211,7 @@ def sampled_terms(spark, sf_dir):
 
 @query
 def scanner_terms(spark, sf_dir):
-    scanner = tokens.Scanner(matching.feature_list(features(spark, sf_dir)))
-    return hexed(counts(spark, sf_dir, tokenizer=scanner))
+    return hexed(matching.feature_terms(items(spark, sf_dir), features(spark, sf_dir)))
 
 
 @query

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import utf8
 
+log = logging.getLogger(__name__)
+
 
 def _placed(files: DataFrame, path: Column) -> DataFrame:
     """doc_id (the path), domain, lang, path, data: names are the last directories of the path."""
@@ -15,8 +19,28 @@ def _placed(files: DataFrame, path: Column) -> DataFrame:
     return files.select(path.alias("doc_id"), above(3).alias("domain"), above(2).alias("lang"), path.alias("path"), F.col("content").alias("data"))
 
 
+def hidden_files(spark: SparkSession, root: str) -> list[str]:
+    """The files below root that Spark's readers pass over: they, or a directory on their way, begin with a dot or an underscore."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    found = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(top, True)
+    out, above = [], None
+    while found.hasNext():
+        path = found.next().getPath().toString()
+        above = above if above is not None else path.index(top.toUri().getPath().rstrip("/")) + len(top.toUri().getPath().rstrip("/"))
+        if any(part[:1] in ("_", ".") for part in path[above:].split("/")):
+            out.append(path)
+    return sorted(out)
+
+
 def read_directory(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below root, at any depth: its directory is its language, the one above that its domain."""
+    """Every file below root, at any depth: its directory is its language, the one above that its domain.
+
+    Spark's readers pass over names that begin with a dot or an underscore; how many such files there
+    are is told in a warning, and hidden_files() names them.
+    """
+    hidden = hidden_files(spark, root)
+    if hidden:
+        log.warning("%s files below %s have hidden names and are not read", len(hidden), root)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return _placed(files, F.regexp_replace("path", "^file:", ""))
 
