@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import prepare, stored
 
 #: Rows of a block of queries and of a block of candidates, on average.
 QUERY_ROWS, CANDIDATE_ROWS = 4096, 16384
@@ -57,6 +57,7 @@ def grid_search(rows: DataFrame, is_query: Column, answer: Callable, score_type:
     answer gets the vectors of both sides, the queries' ids, the Candidates, k and the score that each
     query has k candidates of already; it yields a query's place, and places and scores of candidates.
     """
+    prepare(rows.sparkSession)
     asked = rows.where(is_query & F.col("vec_id").isNotNull()).groupBy("vec_id", "vector").agg(F.count("*").alias("times"))
     queries = stored(asked.withColumn("row", F.xxhash64("vec_id", "vector")), "queries")
     n, m = rows.count(), queries.count()

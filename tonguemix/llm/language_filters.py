@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import prepare
+
 #: N-grams are windows of this many characters of the lower-case letters, words parted by one space.
 ORDER = 4
 HASHES, CELLS = 3, 1 << 20
@@ -145,6 +147,7 @@ def train(docs: DataFrame, learn: Column, *, text="text", lang="lang", doc_id="d
     it is most frequent, so words of other languages in a few documents do not count. The driver gets
     the distinct n-grams of the sample, which its size bounds.
     """
+    prepare(docs.sparkSession)
     known = docs.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rates = {r["lang"]: min(1.0, per_language / r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(rates)
@@ -171,6 +174,7 @@ def train(docs: DataFrame, learn: Column, *, text="text", lang="lang", doc_id="d
 
 def predictor(docs: DataFrame, filters: Filters, text: str) -> Column:
     """struct(lang_pred, score) of a text column; the filters are broadcast: CELLS longs for every 63 languages."""
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.masks))
     ready: list[Filters] = []
 

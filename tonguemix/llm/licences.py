@@ -33,7 +33,9 @@ def canonical_lines(text: Column) -> Column:
     marked = F.replace(F.replace(F.lower(text), F.lit("(c)"), F.lit("copyright")), F.lit("©"), F.lit("copyright"))
     flat = F.replace(F.regexp_replace(marked, r"[^\p{L}\p{N}\n]+", " "), F.lit("\n"), F.lit(" \n "))
     padded = F.replace(F.concat(F.lit(" "), flat, F.lit(" ")), F.lit("  "), F.lit(" "))
-    spelled = reduce(lambda t, pair: F.replace(t, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), EQUAL, padded)
+    # One search for all spellings first: most texts hold none.
+    respelled = lambda t: reduce(lambda x, pair: F.replace(x, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), EQUAL, t)
+    spelled = F.get(F.transform(F.array(padded), lambda t: F.when(t.rlike(f" ({'|'.join(a for a, _ in EQUAL)}) "), respelled(t)).otherwise(t)), F.lit(0))
     return F.filter(F.transform(F.split(spelled, "\n"), lambda line: F.trim(line)), lambda line: line != "")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import dartminhash as dart
-from ._common import stored
+from ._common import prepare, stored
 from .components import connected_components
 
 SIMILARITY = 0.8
@@ -230,6 +230,7 @@ def _by_text(signed: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs: doc_id, text. -> (signed: doc_id, node, signature), (texts with words: node, component, n, best, times)."""
+    prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.where(F.col("text").isNotNull()).withColumn("node", _node(F.col("text")))
     signed = stored(keyed.select("doc_id", "node", "text").mapInArrow(_signed, f"doc_id {kind}, node binary, signature binary"), "signatures")

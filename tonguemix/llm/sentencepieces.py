@@ -20,6 +20,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import prepare
+
 #: Fixed by the model file format: field numbers, piece types, the space symbol.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 CHARSMAP, DUMMY_PREFIX, REMOVE_EXTRA, ESCAPE = 2, 3, 4, 5
@@ -263,6 +265,7 @@ def encode_documents(docs: DataFrame, model: bytes, *, doc_id="doc_id", text="te
             lists = [pa.array([x.astype(t) for x in xs], pa.list_(k)) for t, k, xs in (("i4", pa.int32(), [e.ids for e in found]), ("i8", pa.int64(), [e.begins for e in found]), ("i8", pa.int64(), [e.ends for e in found]))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["doc_id", "ids", "begins", "ends"])
 
+    prepare(docs.sparkSession)
     return chosen.mapInArrow(encode, f"doc_id {kind}, ids array<int>, begins array<bigint>, ends array<bigint>")
 
 
@@ -277,6 +280,7 @@ def decode_documents(encoded: DataFrame, model: bytes) -> DataFrame:
                 texts = codec(model).decode([np.array(x or [], np.uint32) for x in part.column("ids").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
+    prepare(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(decode, f"doc_id {kind}, text string")
 
 
@@ -303,4 +307,5 @@ def round_trip_digests(docs: DataFrame, model: bytes, *, doc_id="doc_id", text="
                 columns["ids"] = pa.array([e.ids.astype("i4") for e in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(columns)
 
+    prepare(docs.sparkSession)
     return chosen.mapInArrow(digests, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spanned_bytes bigint" + ", ids array<int>" * keep_ids)
