@@ -83,7 +83,7 @@ def detect_sql(order: int, name: str = "doc", texts: str | None = None) -> str:
 INDEXED = """item AS (SELECT doc_id, source AS domain, lang FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL),
 li AS (SELECT lang, (row_number() OVER (ORDER BY lang) - 1)::INT AS lang_id, n_docs FROM (SELECT lang, count(*) AS n_docs FROM item GROUP BY lang)),
 di AS (SELECT domain, (row_number() OVER (ORDER BY domain) - 1)::INT AS domain_id, n_docs FROM (SELECT domain, count(*) AS n_docs FROM item GROUP BY domain))"""
-TOXIC = """item AS (SELECT doc_id, source AS domain, lang FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND lang IS NOT NULL AND source IS NOT NULL),
+MARKED = """item AS (SELECT doc_id, source AS domain, lang || ':' || coalesce(toxic::VARCHAR, '-') AS lang FROM documents LEFT JOIN labels USING (doc_id) WHERE lang IS NOT NULL AND source IS NOT NULL),
 wide AS (SELECT lang FROM (SELECT DISTINCT lang, domain FROM item) GROUP BY lang HAVING count(*) >= {least}), kept AS (SELECT * FROM item WHERE lang IN (SELECT lang FROM wide))"""
 #: The same over all documents.
 SPREAD = """item AS (SELECT doc_id, source AS domain, lang FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL),
@@ -124,8 +124,8 @@ SQL = {
     "lang_index": with_(INDEXED) + "SELECT lang_id, lang, n_docs FROM li",
     "domain_index": with_(INDEXED) + "SELECT domain_id, domain, n_docs FROM di",
     "coverage": with_(INDEXED) + "SELECT DISTINCT domain, lang FROM item",
-    "min_domain_prune": with_(TOXIC.format(least=LEAST_DOMAINS)) + "SELECT doc_id, domain, kept.lang, lang_id FROM kept JOIN (SELECT lang, (row_number() OVER (ORDER BY lang) - 1)::INT AS lang_id FROM wide) USING (lang)",
-    "min_domain_index": with_(TOXIC.format(least=LEAST_DOMAINS)) + "SELECT (row_number() OVER (ORDER BY d.domain) - 1)::INT AS domain_id, d.domain, coalesce(n, 0)::BIGINT AS n_docs FROM (SELECT DISTINCT domain FROM item) d LEFT JOIN (SELECT domain, count(*) AS n FROM kept GROUP BY domain) k USING (domain)",
+    "min_domain_prune": with_(MARKED.format(least=LEAST_DOMAINS)) + "SELECT doc_id, domain, kept.lang, lang_id FROM kept JOIN (SELECT lang, (row_number() OVER (ORDER BY lang) - 1)::INT AS lang_id FROM wide) USING (lang)",
+    "min_domain_index": with_(MARKED.format(least=LEAST_DOMAINS)) + "SELECT (row_number() OVER (ORDER BY d.domain) - 1)::INT AS domain_id, d.domain, coalesce(n, 0)::BIGINT AS n_docs FROM (SELECT DISTINCT domain FROM item) d LEFT JOIN (SELECT domain, count(*) AS n FROM kept GROUP BY domain) k USING (domain)",
     "min_domain_prune_documents": with_(SPREAD.format(least=LEAST_DOMAINS)) + "SELECT doc_id, domain, kept.lang, lang_id FROM kept JOIN (SELECT lang, (row_number() OVER (ORDER BY lang) - 1)::INT AS lang_id FROM wide) USING (lang)",
     "min_domain_index_documents": with_(SPREAD.format(least=LEAST_DOMAINS)) + "SELECT (row_number() OVER (ORDER BY d.domain) - 1)::INT AS domain_id, d.domain, coalesce(n, 0)::BIGINT AS n_docs FROM (SELECT DISTINCT domain FROM item) d LEFT JOIN (SELECT domain, count(*) AS n FROM kept GROUP BY domain) k USING (domain)",
     "allow_list": f"SELECT doc_id, source AS domain, lang, (list_position({GIVEN_DOMAINS}, source) - 1)::INT AS domain_id, (list_position({GIVEN_LANGS}, lang) - 1)::INT AS lang_id FROM documents WHERE lang IN {_list(GIVEN_LANGS)} AND source IN {_list(GIVEN_DOMAINS)}",

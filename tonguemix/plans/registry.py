@@ -99,9 +99,11 @@ def named(df: DataFrame, spark: SparkSession, sf_dir: str, **columns: str) -> Da
     return df
 
 
-def toxic(spark: SparkSession, sf_dir: str) -> corpus.CorpusIndex:
-    flagged = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
-    return corpus.index_corpus(items(spark, sf_dir).join(flagged, "doc_id"), min_domain=oracle.LEAST_DOMAINS)
+def marked(spark: SparkSession, sf_dir: str) -> corpus.CorpusIndex:
+    """All documents by language and what their label says of them, if there is one: some of these classes are rare."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("string").alias("label"))
+    named = items(spark, sf_dir).join(labels, "doc_id", "left").withColumn("lang", F.concat("lang", F.lit(":"), F.coalesce("label", F.lit("-"))))
+    return corpus.index_corpus(named, min_domain=oracle.LEAST_DOMAINS)
 
 
 def spread(spark: SparkSession, sf_dir: str) -> corpus.CorpusIndex:
@@ -134,23 +136,23 @@ def coverage(spark, sf_dir):
 
 @query
 def min_domain_prune(spark, sf_dir):
-    return toxic(spark, sf_dir).items.select("doc_id", "domain", "lang", "lang_id")
+    return marked(spark, sf_dir).items.select("doc_id", "domain", "lang", "lang_id")
 
 
 @query
 def min_domain_index(spark, sf_dir):
-    return toxic(spark, sf_dir).domain_index
+    return marked(spark, sf_dir).domain_index
 
 
 @query
 def min_domain_prune_documents(spark, sf_dir):
-    """The same as min_domain_prune over all documents, not the toxic ones alone."""
+    """The same by language alone."""
     return spread(spark, sf_dir).items.select("doc_id", "domain", "lang", "lang_id")
 
 
 @query
 def min_domain_index_documents(spark, sf_dir):
-    """The same as min_domain_index over all documents."""
+    """The same as min_domain_index by language alone."""
     return spread(spark, sf_dir).domain_index
 
 
