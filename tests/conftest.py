@@ -34,13 +34,14 @@ def _plain(value):
 
 @pytest.fixture(scope="session")
 def same_as_sql(spark):
-    """Whether a query and its SQL give the same columns and rows on the smallest tables."""
-    db = duckdb.connect()
-    for name in os.listdir(SF):
-        db.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM read_parquet('{SF}/{name}')")
-
-    def same(query, sql):
-        df = query(spark, SF)
+    """Whether a query and its SQL give the same columns and rows on the tables of a folder, the smallest if none is given."""
+
+    def same(query, sql, folder=SF):
+        db = duckdb.connect()
+        for name in os.listdir(folder):
+            files = f"{folder}/{name}/*.parquet" if os.path.isdir(f"{folder}/{name}") else f"{folder}/{name}"
+            db.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM read_parquet('{files}')")
+        df = query(spark, folder)
         columns = sorted(df.columns)
         result = db.execute(sql)
         names = [d[0] for d in result.description]

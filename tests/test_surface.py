@@ -190,3 +190,33 @@ def test_standard_input(spark, folder, monkeypatch, capsys, options, tty, answer
     cli.main(["detect", "-m", str(folder / "model"), *options])
     out = [x for x in capsys.readouterr().out.replace(">>> ", "").splitlines() if x]
     assert len(out) == answers and "en" in out[0] and (answers == 1 or "de" in out[1])
+
+
+UNLABELLED = ("byte_count", "cosine_score", "detect_in_sql", "detect_json", "detect_mono", "detect_tri", "doc_feature_tf", "ftc", "lang_index", "ngram_terms", "prager_word_terms", "record_counts", "sampled_terms", "scanner_terms", "stream_lines")
+
+
+@pytest.fixture(scope="module")
+def unlabelled(spark, tmp_path_factory):
+    """Documents some of which lack a language, a source, both, or a text."""
+    path = tmp_path_factory.mktemp("unlabelled")
+    none, every = F.lit(None).cast("string"), lambda n: F.col("doc_id") % n == 0
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60")
+    docs = docs.withColumns({"lang": F.when(every(5), none).otherwise(F.col("lang")), "source": F.when(every(7), none).otherwise(F.col("source")), "text": F.when(every(11), none).otherwise(F.col("text"))})
+    docs.write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", UNLABELLED)
+def test_documents_without_labels(same_as_sql, unlabelled, name):
+    same_as_sql(registry.QUERIES[name], registry.ORACLE_SQL[name], unlabelled)
+
+
+def test_every_document_is_detected(spark, unlabelled):
+    assert registry.QUERIES["detect_mono"](spark, unlabelled).count() == spark.read.parquet(f"{unlabelled}/documents.parquet").count()
+
+
+def test_record_counts(spark):
+    rows = spark.createDataFrame([(0, 0, 3), (1, 0, 4)], "doc_id long, feature_id int, tf long")
+    sums = spark.createDataFrame([(0, 0, 7)], "feature_id int, lang_id int, n long")
+    assert tuple(matching.record_counts(rows, sums).first()) == (7, 7)
+    assert tuple(matching.record_counts(rows.limit(0), sums.limit(0)).first()) == (0, 0)

@@ -96,3 +96,9 @@ def feature_terms(items: DataFrame, features: DataFrame, by: str = "lang") -> Da
         return term_counts(items, Scanner(terms), by)
     found = match_rows(items, features).join(items.select("doc_id", by), "doc_id").groupBy("feature_id", by).agg(F.count("*").alias("n"))
     return found.join(features.select("feature_id", "term"), "feature_id").select("term", by, "n")
+
+
+def record_counts(by_document: DataFrame, by_class: DataFrame) -> DataFrame:
+    """n_written, n_read: occurrences in the documents, and in the sums by class (of the same documents); equal if none was lost."""
+    written = by_document.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_written"))
+    return written.crossJoin(by_class.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_read")))  # a row and a row

@@ -13,8 +13,9 @@ def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-DOC = "doc AS (SELECT doc_id AS key, lang, source AS domain, coalesce(text, '') AS text FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)"
-LANGS = "langs AS (SELECT lang, (row_number() OVER (ORDER BY lang) - 1)::INT AS lang_id FROM (SELECT DISTINCT lang FROM doc))"
+#: All documents. Those without a language or a source teach nothing (both are null then), but are detected like the others.
+DOC = "doc AS (SELECT doc_id AS key, CASE WHEN source IS NOT NULL THEN lang END AS lang, CASE WHEN lang IS NOT NULL THEN source END AS domain, coalesce(text, '') AS text FROM documents)"
+LANGS = "langs AS (SELECT lang, (row_number() OVER (ORDER BY lang) - 1)::INT AS lang_id FROM (SELECT DISTINCT lang FROM doc WHERE lang IS NOT NULL))"
 
 
 def grams(name: str, columns: str = "key, lang, domain") -> str:
@@ -27,7 +28,7 @@ def grams(name: str, columns: str = "key, lang, domain") -> str:
 
 
 def counted(by: str, name: str = "doc") -> str:
-    return f"term_{by} AS (SELECT term, {by}, count(*) AS n FROM (SELECT DISTINCT key, {by}, term FROM {name}_occ WHERE len >= 3) GROUP BY term, {by})"
+    return f"term_{by} AS (SELECT term, {by}, count(*) AS n FROM (SELECT DISTINCT key, {by}, term FROM {name}_occ WHERE len >= 3 AND {by} IS NOT NULL) GROUP BY term, {by})"
 
 
 SCORED = "scored AS (SELECT term, max(n) AS most, count(*) AS lf FROM term_lang GROUP BY term)"
@@ -118,6 +119,8 @@ cut_gram AS (SELECT key, lang, len, x AS g1, x || lead(x, 1) OVER w AS g2, x ||
 cut_occ AS (SELECT * FROM (SELECT key, lang, len, unnest([g1, g2, g3, g4]) AS term FROM cut_gram) WHERE term IS NOT NULL)"""
 LINES = """SELECT doc_id || ':' || (line - 1) AS key, body AS text FROM (SELECT doc_id, generate_subscripts(parts, 1) AS line, unnest(parts) AS body FROM
   (SELECT doc_id, list_filter(string_split(replace(coalesce(text, ''), chr(10), chr(10) || chr(1)), chr(1)), lambda x: x <> '') AS parts FROM documents))"""
+#: Bytes of what is said in each domain and language, a line feed after each text.
+DIRECTORY = "SELECT source AS domain, lang, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS n_bytes FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2"
 
 SQL = {
     "corpus_items": with_(INDEXED) + "SELECT doc_id, domain, lang, domain_id, lang_id FROM item JOIN li USING (lang) JOIN di USING (domain)",
@@ -133,13 +136,13 @@ SQL = {
     "allow_list_domains": _given("domain", GIVEN_DOMAINS, "domain_id"),
     "onehot_classmap": "SELECT doc_id, " + ", ".join(f"(lang = '{x}')::INT AS lang_{x}" for x in ("de", "en", "es", "fr")) + " FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL",
     "sample_corpus": "SELECT doc_id, source AS domain, lang FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND ('0x' || substr(md5(doc_id || ':7'), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.5",
-    "byte_count": "SELECT sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS n_bytes FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL",
+    "byte_count": "SELECT sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS n_bytes FROM documents",
     "ngram_terms": with_(DOC, grams("doc"), counted("lang")) + "SELECT term, lang, n FROM term_lang",
     "ngram_term_domain": with_(DOC, grams("doc"), counted("domain")) + "SELECT term, domain, n FROM term_domain",
-    "prager_terms": with_(DOC, grams("doc")) + f"SELECT g4 AS term, lang, count(DISTINCT key) AS n FROM doc_gram WHERE {WINDOW_OF_FOUR} GROUP BY g4, lang",
-    "prager_word_terms": with_(DOC, grams("doc"), WORDS) + f"SELECT term, lang, count(DISTINCT key) AS n FROM (SELECT key, lang, g4 AS term FROM doc_gram WHERE {WINDOW_OF_FOUR} UNION ALL SELECT key, lang, term FROM words WHERE length(term) <> 8 AND length(term) <= 60) GROUP BY term, lang",
+    "prager_terms": with_(DOC, grams("doc")) + f"SELECT g4 AS term, lang, count(DISTINCT key) AS n FROM doc_gram WHERE {WINDOW_OF_FOUR} AND lang IS NOT NULL GROUP BY g4, lang",
+    "prager_word_terms": with_(DOC, grams("doc"), WORDS) + f"SELECT term, lang, count(DISTINCT key) AS n FROM (SELECT key, lang, g4 AS term FROM doc_gram WHERE {WINDOW_OF_FOUR} UNION ALL SELECT key, lang, term FROM words WHERE length(term) <> 8 AND length(term) <= 60) WHERE lang IS NOT NULL GROUP BY term, lang",
     "sampled_terms": with_(DOC, SAMPLED, counted("lang", "cut")) + "SELECT term, lang, n FROM term_lang",
-    "scanner_terms": with_(*TRAINING) + "SELECT term, lang, count(DISTINCT key) AS n FROM doc_occ JOIN features USING (term) GROUP BY term, lang",
+    "scanner_terms": with_(*TRAINING) + "SELECT term, lang, count(DISTINCT key) AS n FROM doc_occ JOIN features USING (term) WHERE lang IS NOT NULL GROUP BY term, lang",
     "lang_freq": with_(DOC, grams("doc"), counted("lang"), SCORED) + "SELECT term, lf FROM scored",
     "prager_select_k": with_(DOC, grams("doc"), counted("lang"), SCORED) + f"SELECT term, most, lf FROM scored WHERE most >= {K}::DOUBLE * lf",
     "tfilf_topn": with_(DOC, grams("doc"), counted("lang"), SCORED, TOP_TERMS) + "SELECT term, round(score, 6) AS score FROM top",
@@ -165,5 +168,18 @@ SQL = {
     "detect_pages": detect_sql(2, "q", "SELECT page_id AS key, coalesce(html, '') AS text FROM pages"),
     "detect_benchmark": detect_sql(2, "q", "SELECT item_id AS key, coalesce(text, '') AS text FROM benchmark"),
     "detect_json": with_(*MODEL, *detection("doc", 1)) + "SELECT '{\"path\":\"' || key || '\",\"langs\":{\"' || ls[1] || '\":1.0}}' AS value FROM best",
-    "accuracy_confusion": with_(*MODEL, *detection("doc", 1)) + "SELECT doc.lang, ls[1] AS detected, count(*) AS n FROM best JOIN doc USING (key) GROUP BY 1, 2",
+    "accuracy_confusion": with_(*MODEL, *detection("doc", 1)) + "SELECT doc.lang, ls[1] AS detected, count(*) AS n FROM best JOIN doc USING (key) WHERE doc.lang IS NOT NULL GROUP BY 1, 2",
+    "corpus_paths": "SELECT doc_id::VARCHAR AS path FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL",
+    "index_paths_file": with_(INDEXED) + "SELECT domain_id, lang_id, doc_id::VARCHAR AS path FROM item JOIN li USING (lang) JOIN di USING (domain)",
+    "index_langs_file": with_(INDEXED) + "SELECT lang_id, lang, n_docs FROM li",
+    "index_domains_file": with_(INDEXED) + "SELECT domain_id, domain, n_docs FROM di",
+    "directory_corpus": DIRECTORY,
+    "listed_corpus": DIRECTORY,
+    "features_file": with_(*TRAINING) + "SELECT term FROM top",
+    "weights_file": with_(*TRAINING, FTC, ILF) + "SELECT term, round(ilf, 6) AS ilf FROM ilf",
+    "record_counts": with_(*TRAINING, FTC) + "SELECT (SELECT count(*) FROM doc_occ JOIN features USING (term) WHERE lang IS NOT NULL) AS n_written, (SELECT sum(n) FROM ftc)::BIGINT AS n_read",
+    "saved_model": detect_sql(2, "q", "SELECT item_id AS key, coalesce(text, '') AS text FROM benchmark"),
+    "model_string": detect_sql(2, "q", "SELECT item_id AS key, coalesce(text, '') AS text FROM benchmark"),
+    "detect_in_sql": detect_sql(1),
+    "stream_lines": detect_sql(1, "q", LINES),
 }

@@ -1,7 +1,8 @@
 """The registered queries over the driver's tables, and their SQL.
 
-documents is the labelled corpus: its lang is the language, its source the domain. Models are
-trained on all of it, with the TOP best n-grams of 1 to 4 bytes as features.
+documents is the corpus: its lang is the language, its source the domain. Models are trained on all
+that have both, with the TOP best n-grams of 1 to 4 bytes as features; what needs no label (detection,
+scores, counts of bytes and features) runs on all documents.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.text import utf8
 from ..operators import corpus, detect, matching, model, selection, tokens
 from ..sources import corpora, sinks
+from ..streaming import lines
 from . import oracle, train
+from .folders import fresh_path
 from .shipping import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,9 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, labelled or not."""
+    return corpora.from_table(table(spark, sf_dir, "documents"))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = corpora.from_table(table(spark, sf_dir, "documents"))
-    return documents.where(F.col("lang").isNotNull() & F.col("domain").isNotNull())
+    """The documents with a language and a domain."""
+    return texts(spark, sf_dir).where(F.col("lang").isNotNull() & F.col("domain").isNotNull())
 
 
 def once(build: Callable) -> Callable:
@@ -83,12 +91,12 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.query_vectors(matching.document_features(items(spark, sf_dir), features(spark, sf_dir)), features(spark, sf_dir))
+    return detect.query_vectors(matching.document_features(texts(spark, sf_dir), features(spark, sf_dir)), features(spark, sf_dir))
 
 
 def dots(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = trained(spark, sf_dir)
-    return detect.dot_products(items(spark, sf_dir), vectors(spark, sf_dir), m.prototypes, m.langs)
+    return detect.dot_products(texts(spark, sf_dir), vectors(spark, sf_dir), m.prototypes, m.langs)
 
 
 def named(df: DataFrame, spark: SparkSession, sf_dir: str, **columns: str) -> DataFrame:
@@ -183,7 +191,7 @@ def sample_corpus(spark, sf_dir):
 
 @query
 def byte_count(spark, sf_dir):
-    return tokens.byte_count(items(spark, sf_dir))
+    return tokens.byte_count(texts(spark, sf_dir))
 
 
 @query
@@ -239,7 +247,7 @@ def selection_stats(spark, sf_dir):
 
 @query
 def doc_feature_tf(spark, sf_dir):
-    return matching.document_features(items(spark, sf_dir), features(spark, sf_dir))
+    return matching.document_features(texts(spark, sf_dir), features(spark, sf_dir))
 
 
 @query
@@ -280,7 +288,7 @@ def dot_products(spark, sf_dir):
 
 @query
 def cosine_score(spark, sf_dir):
-    scored = detect.score(items(spark, sf_dir), detectors(spark, sf_dir)[1])
+    scored = detect.score(texts(spark, sf_dir), detectors(spark, sf_dir)[1])
     return rounded(scored.select("doc_id", F.explode("score").alias("lang", "score")), "score")
 
 
@@ -291,7 +299,7 @@ def topn_candidates(spark, sf_dir):
 
 @query
 def detect_mono(spark, sf_dir):
-    found = detect.detect(items(spark, sf_dir), detectors(spark, sf_dir)[1])
+    found = detect.detect(texts(spark, sf_dir), detectors(spark, sf_dir)[1])
     return rounded(found.select("doc_id", F.get(F.map_keys("langs"), F.lit(0)).alias("lang"), "score", "has_features"), "score")
 
 
@@ -307,18 +315,18 @@ def trilingual_candidates(spark, sf_dir):
     return rounded(named(found, spark, sf_dir, lang1="l1", lang2="l2", lang3="l3").select("doc_id", "lang1", "lang2", "lang3", "a", "b", "score"), "a", "b", "score")
 
 
-def mixes(spark: SparkSession, sf_dir: str, texts: DataFrame, order: int) -> DataFrame:
-    return rounded(detect.shares(detect.detect(texts, detectors(spark, sf_dir)[order])), "weight")
+def mixes(spark: SparkSession, sf_dir: str, said: DataFrame, order: int) -> DataFrame:
+    return rounded(detect.shares(detect.detect(said, detectors(spark, sf_dir)[order])), "weight")
 
 
 @query
 def detect_bi(spark, sf_dir):
-    return mixes(spark, sf_dir, items(spark, sf_dir), 2)
+    return mixes(spark, sf_dir, texts(spark, sf_dir), 2)
 
 
 @query
 def detect_tri(spark, sf_dir):
-    return mixes(spark, sf_dir, items(spark, sf_dir), 3)
+    return mixes(spark, sf_dir, texts(spark, sf_dir), 3)
 
 
 @query
@@ -352,10 +360,124 @@ def detect_benchmark(spark, sf_dir):
 
 @query
 def detect_json(spark, sf_dir):
-    return sinks.json_lines(detect.detect(items(spark, sf_dir), detectors(spark, sf_dir)[1]), "langs")
+    return sinks.json_lines(detect.detect(texts(spark, sf_dir), detectors(spark, sf_dir)[1]), "langs")
 
 
 @query
 def accuracy_confusion(spark, sf_dir):
     found = detect.detect(items(spark, sf_dir), detectors(spark, sf_dir)[1]).select("doc_id", F.get(F.map_keys("langs"), F.lit(0)).alias("detected"))
     return found.join(items(spark, sf_dir).select("doc_id", "lang"), "doc_id").groupBy("lang", "detected").agg(F.count("*").alias("n"))
+
+
+# Files between two steps: what is written is read again.
+
+
+@once
+def index_files(spark: SparkSession, sf_dir: str) -> str:
+    path = fresh_path(spark, "index")
+    sinks.write_index(corpus.index_corpus(items(spark, sf_dir).withColumn("path", F.col("doc_id").cast("string"))), path)
+    return path
+
+
+@query
+def corpus_paths(spark, sf_dir):
+    return corpus.paths(items(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path")))
+
+
+@query
+def index_paths_file(spark, sf_dir):
+    return corpora.read_index(spark, f"{index_files(spark, sf_dir)}/paths", corpora.PATHS)
+
+
+@query
+def index_langs_file(spark, sf_dir):
+    return corpora.read_index(spark, f"{index_files(spark, sf_dir)}/lang_index", corpora.LANGS)
+
+
+@query
+def index_domains_file(spark, sf_dir):
+    return corpora.read_index(spark, f"{index_files(spark, sf_dir)}/domain_index", corpora.DOMAINS)
+
+
+@once
+def corpus_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The texts as files of text in folders by domain and language, as many files as there are tasks that write."""
+    path = fresh_path(spark, "corpus")
+    said = items(spark, sf_dir).select("domain", "lang", F.decode("data", "UTF-8").alias("value"))
+    said.write.partitionBy("domain", "lang").text(path)
+    return path
+
+
+def bytes_by_class(files: DataFrame) -> DataFrame:
+    """Spark's writer names a folder column=value."""
+    value = lambda c: F.substring_index(c, "=", -1).alias(c)
+    return files.groupBy(value("domain"), value("lang")).agg(F.sum(F.length("data")).alias("n_bytes"))
+
+
+@query
+def directory_corpus(spark, sf_dir):
+    return bytes_by_class(corpora.read_directory(spark, corpus_folder(spark, sf_dir)))
+
+
+@query
+def listed_corpus(spark, sf_dir):
+    listing = fresh_path(spark, "listing")
+    corpus.paths(corpora.read_directory(spark, corpus_folder(spark, sf_dir))).write.text(listing)
+    return bytes_by_class(corpora.read_path_list(spark, listing))
+
+
+@query
+def features_file(spark, sf_dir):
+    path = fresh_path(spark, "features")
+    sinks.write_features(features(spark, sf_dir), path)
+    return hexed(corpora.read_features(spark, path))
+
+
+@query
+def weights_file(spark, sf_dir):
+    path = fresh_path(spark, "weights")
+    sinks.write_weights(features(spark, sf_dir).select(F.col("term").alias("key"), F.col("ilf").alias("value")), path)
+    return rounded(corpora.read_weights(spark, path).select(F.hex("key").alias("term"), F.get("values", F.lit(0)).alias("ilf")), "ilf")
+
+
+@query
+def record_counts(spark, sf_dir):
+    """Occurrences as they are counted by document, and as they come out summed by class: none may be lost between."""
+    return matching.record_counts(matching.document_features(items(spark, sf_dir), features(spark, sf_dir)), totals(spark, sf_dir))
+
+
+def benchmark_mixes(spark: SparkSession, sf_dir: str, found: model.Model) -> DataFrame:
+    said = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), utf8(F.col("text")).alias("data"))
+    return rounded(detect.shares(detect.detect(said, found.detector(5, 2))), "weight")
+
+
+@query
+def saved_model(spark, sf_dir):
+    path = fresh_path(spark, "model")
+    trained(spark, sf_dir).save(path)
+    return benchmark_mixes(spark, sf_dir, model.Model.load(spark, path))
+
+
+@query
+def model_string(spark, sf_dir):
+    return benchmark_mixes(spark, sf_dir, model.Model.from_string(spark, trained(spark, sf_dir).to_string()))
+
+
+@query
+def detect_in_sql(spark, sf_dir):
+    """Detection as a function that SQL calls."""
+    spark.udf.register("languages_of", detect.detect_udf(detectors(spark, sf_dir)[1]))
+    documents = table(spark, sf_dir, "documents")
+    return rounded(spark.sql("SELECT doc_id, explode(languages_of(text)) AS (lang, weight) FROM {documents}", documents=documents), "weight")
+
+
+@query
+def stream_lines(spark, sf_dir):
+    """detect_lines on a stream: the table as it arrives, a line of JSON for each line of text, read back when all is done."""
+    stored = table(spark, sf_dir, "documents").schema
+    arriving = corpora.lines_of(spark.readStream.schema(stored).parquet(f"{sf_dir}/documents.parquet*"))  # a pattern, as the table may be one file
+    out, progress = fresh_path(spark, "stream"), fresh_path(spark, "progress")
+    named = arriving.select(F.concat_ws(":", "doc_id", "line").alias("doc_id"), "data")
+    lines.start(named, detectors(spark, sf_dir)[1], out, progress, once=True).awaitTermination()
+    found = spark.read.text(out).select(F.from_json("value", "path string, langs map<string,double>").alias("x"))
+    return rounded(detect.shares(found.select(F.col("x.path").alias("doc_id"), "x.langs")), "weight")
