@@ -133,3 +133,14 @@ def test_error_bounds_hold():
     assert (np.abs(a @ b.T - middle) <= bound * (1 + 1e-9)).all()
     wide = r.integers(-127, 128, size=(2, 3000)).astype(np.int8)
     assert ann._products(wide, wide)[0, 1] == int(wide[0].astype(int) @ wide[1].astype(int))
+
+
+def test_a_candidate_with_very_many_copies(spark, grid):
+    """A third of all rows are one row: each copy counts, and no cell holds more of them than a list can."""
+    _, rows = vectors(spark, n=60, ties=False)
+    hot = (61, [3.0] * 20)
+    table = spark.createDataFrame(rows + [hot] * 30, SCHEMA)
+    found = sorted(map(tuple, topk.exact_top_k(table, F.col("vec_id") % 10 == 0, k=10).collect()))
+    assert found == brute(rows + [hot] * 30, 10, 10, integers)
+    found = sorted(map(tuple, ann.nearest(table, F.col("vec_id") % 10 == 0, k=20).collect()))
+    assert found == brute(rows + [hot] * 30, 10, 20, in_order)

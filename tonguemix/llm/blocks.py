@@ -2,7 +2,8 @@
 
 Queries are dealt by hash into row blocks, candidates into column blocks, and each cell of the grid
 joins one of each by an equality join, so a task holds two blocks of bounded size whatever the size
-of the tables. A cell answers with at most k rows for each of its queries, kept in heaps, and those
+of the tables. Equal rows hash alike, so they are summed first: of a candidate's copies, which share
+id and score, the k first are all that a list of k can hold, and a query is asked once for its copies. A cell answers with at most k rows for each of its queries, kept in heaps, and those
 short lists are merged by a window that keeps the first k.
 
 The first column of cells is searched on its own. What it finds gives each query the k-th best score
@@ -64,7 +65,9 @@ def grid_search(rows: DataFrame, is_query: Column, answer: Callable, score_type:
     across, down = max(1, -(-n // CANDIDATE_ROWS)), max(1, -(-m // QUERY_ROWS))
     cells = lambda first, count: F.explode(F.sequence(F.lit(first), F.lit(count - 1)))
     left = queries.select("vec_id", "vector", "row", F.pmod("row", F.lit(down)).cast("int").alias("i"))
-    right = rows.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(across)).cast("int").alias("j"), cells(0, down).alias("i"))
+    copies = rows.groupBy("vec_id", "vector").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"))
+    placed = copies.select("vec_id", "vector", "copies", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(across)).cast("int").alias("j"), cells(0, down).alias("i"))
+    right = placed.select("vec_id", "vector", "i", "j", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("col")
     kind = pa.int64() if score_type == "long" else pa.float64()
     schema = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("score", kind)])
 
