@@ -5,22 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.folders import drop_tables, fresh_path
-from ..plans.shipping import ship_package
+from ..plans.shipping import prepare
 
 __all__ = ["BROADCAST_ROWS", "drop_tables", "fresh_path", "prepare", "stored", "table"]
 
 #: Rows up to which a small table (sources, thresholds, histogram strata) is broadcast.
 BROADCAST_ROWS = 100_000
-#: Bytes of rows that go to Python at a time: texts and signatures are large, and a worker holds a batch several times over.
-BATCH_BYTES = 4 << 20
-_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def prepare(spark: SparkSession) -> None:
-    """Sends the package to the executors, and keeps batches for Python small, unless the session has them smaller."""
-    ship_package(spark)
-    if int(spark.conf.get(_BATCH_SETTING).rstrip("b")) > BATCH_BYTES:
-        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
