@@ -21,6 +21,10 @@ def test_relational_detection_makes_its_products_once(spark):
     assert sorted((r.lang_id, round(r.weight, 9)) for r in best.collect()) == [(0, round(1 / 3, 9)), (1, round(2 / 3, 9))]
 
 
+def test_accuracy_reads_the_language_with_the_text(spark):
+    assert "Join" not in plan(registry.QUERIES["accuracy_confusion"](spark, SF))
+
+
 def test_columns_to_keep(spark):
     one = registry.detectors(spark, SF)[1]
     docs = registry.items(spark, SF).withColumn("a b", F.col("doc_id") * 2)
