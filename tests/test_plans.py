@@ -1,5 +1,6 @@
 """How often plans read and match the texts."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +59,15 @@ def test_classes_beyond_the_limit(spark, monkeypatch):
     for module, name, value in ((tokens, "HELD", 1), (tokens, "CLASSES", 2), (matching, "HELD", 1), (matching, "CLASSES", 2)):
         monkeypatch.setattr(module, name, value)
     assert runs() == whole
+
+
+def test_many_lines_are_detected_like_each(spark):
+    """The same bits, whatever lines stand beside it."""
+    for order in (1, 3):
+        one = registry.detectors(spark, SF)[order]
+        said = [line for r in registry.texts(spark, SF).limit(40).collect() for line in bytes(r.data).splitlines(keepends=True)] + [b"", b"\n", None]
+        many = list(one.dots_of(pa.array(said, pa.binary())))
+        assert len(many) == len(said)
+        for line, (dots, norm) in zip(said, many, strict=True):
+            alone, length = one.dots(line or b"")
+            assert dots.tolist() == alone.tolist() and norm == length and one.detect_dots(dots) == one.detect_dots(alone)
