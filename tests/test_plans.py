@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonguemix.operators import detect, matching, tokens
-from tonguemix.plans import registry, shipping
+from tonguemix.plans import registry, shipping, train
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,3 +71,15 @@ def test_many_lines_are_detected_like_each(spark):
         for line, (dots, norm) in zip(said, many, strict=True):
             alone, length = one.dots(line or b"")
             assert dots.tolist() == alone.tolist() and norm == length and one.detect_dots(dots) == one.detect_dots(alone)
+
+
+def test_what_is_trained_is_in_one_partition(spark):
+    """However many partitions a shuffle has, a few hundred features are no task for each of them."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        built = train.train(registry.items(spark, SF), train.Settings(count=40))
+        kept = {name: df._jdf.rdd().getNumPartitions() for name, df in (("features", built.features), ("prototypes", built.prototypes), ("langs", built.langs), ("gram", built.gram()))}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert kept == dict.fromkeys(kept, 1)
