@@ -1,5 +1,8 @@
 """How often plans read and match the texts."""
 
+from itertools import combinations
+
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -83,3 +86,43 @@ def test_what_is_trained_is_in_one_partition(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert kept == dict.fromkeys(kept, 1)
+
+
+def one_by_one(one, dots):
+    """The best single language, pair or triple of one text, by trying each."""
+    order = sorted(range(len(dots)), key=lambda i: (-dots[i], -i))
+    best, length = {order[0]: 1.0}, dots[order[0]]
+    g, top = one.gram, order[: one.topn]
+    for size in range(2, one.max_order + 1):
+        for c in combinations(top, size):
+            if size == 2:
+                found = detect.mix_of_two(g[c], *dots[list(c)])
+            else:
+                found = detect.mix_of_three(g[c[0], c[1]], g[c[1], c[2]], g[c[0], c[2]], *dots[list(c)])
+            if found and found[-1] > length:
+                best, length = dict(zip(c, [*found[:-1], 1 - sum(found[:-1])], strict=True)), found[-1]
+    return {one.langs[i]: w for i, w in best.items()}, length
+
+
+@pytest.mark.parametrize(("n_langs", "topn", "order"), [(1, 5, 3), (2, 5, 3), (4, 5, 1), (6, 5, 2), (7, 5, 3), (7, 2, 3)])
+def test_mixes_of_many_texts(monkeypatch, n_langs, topn, order):
+    """What each text has alone, with steps by combination of candidates and none by text."""
+    rng = np.random.default_rng(n_langs + order)
+    features = [bytes([97 + i]) for i in range(12)]
+    prototypes = rng.random((n_langs, 12)) ** 4
+    prototypes /= np.linalg.norm(prototypes, axis=1)[:, None]
+    one = detect.Detector(features, rng.random(12), prototypes, [f"l{i}" for i in range(n_langs)], topn, order)
+    texts = [bytes(rng.integers(97, 109, int(k)).astype(np.uint8)) for k in rng.integers(0, 9, 500)] + [b"", b"ZZ", None]
+    want = [one_by_one(one, dots) for dots, _ in one.dots_of(texts)]
+    calls, plain = [], (detect.mixes_of_two, detect.mixes_of_three)
+    monkeypatch.setattr(detect, "mixes_of_two", lambda *x: calls.append(2) or plain[0](*x))
+    monkeypatch.setattr(detect, "mixes_of_three", lambda *x: calls.append(3) or plain[1](*x))
+    got = detect.detected(one, texts)
+    assert len(calls) <= 20
+    for found, score, (langs, length) in zip(got["langs"].to_pylist(), got["score"].to_pylist(), want, strict=True):
+        assert dict(found) == pytest.approx(langs, abs=1e-9) and score == pytest.approx(length, abs=1e-12)
+    assert got["has_features"].to_pylist()[-3:] == [False] * 3
+    if order > 1 < n_langs:
+        assert max(len(w) for w, _ in want) > 1
+    assert detect.detected(one, [])["langs"].to_pylist() == []
+    assert detect.detected(detect.Detector([], np.empty(0), np.empty((0, 0)), [], 5, order), [b"a"])["langs"].to_pylist() == [[]]
