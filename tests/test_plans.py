@@ -1,5 +1,6 @@
 """How often plans read and match the texts."""
 
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -53,6 +54,34 @@ def test_batches_for_python_are_small(spark, run):
         spark.conf.set(setting, before)
 
 
+@pytest.mark.parametrize("batches", [1, 24])
+@pytest.mark.parametrize(("step", "most"), [("term_counts", 44), ("class_totals", 20), ("detect", 8)])
+def test_memory_of_a_task_does_not_follow_its_rows(spark, monkeypatch, step, most, batches):
+    """Steps as a task runs them: 12 MB of texts, in one batch or in many, take at most so many MB beside themselves."""
+    r = np.random.default_rng(3)
+    words = [bytes(w) for w in r.integers(97, 123, (3000, 6)).astype(np.uint8)]
+    said = [b" ".join(words[k] for k in r.integers(0, 3000, 350)) for _ in range(4900 // batches)]
+    rows = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(said))), "lang": pa.array(["de", "en", "es", "fr"] * len(said))[: len(said)], "data": pa.array(said, pa.binary())})
+    docs = spark.createDataFrame([(0, "de", b"a")], "doc_id long, lang string, data binary")
+    known = [bytes([c]) for c in range(97, 123)] + words[:270]
+    features = spark.createDataFrame(list(enumerate(known)), "feature_id int, term binary")
+    one = detect.Detector(known, np.ones(296), np.random.default_rng(4).random((4, 296)), ["de", "en", "es", "fr"], 5, 3)
+    tasks, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, *rest: tasks.append(run) or plain(self, run, *rest))
+    {
+        "term_counts": lambda: tokens.term_counts(docs, tokens.NGrams(1, 4)),
+        "class_totals": lambda: matching.class_totals(docs, features, "lang"),
+        "detect": lambda: detect.detect(docs, one),
+    }[step]()
+    tracemalloc.start()
+    try:
+        given = sum(out.num_rows for out in tasks[0](iter([rows] * batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(tasks) == 1 and given and peak < most << 20
+
+
 def test_classes_beyond_the_limit(spark, monkeypatch):
     """More classes than are numbered at a time, and more numbers than are held."""
     docs = spark.createDataFrame([(i, f"c{i % 7}", f"text {i % 3}".encode()) for i in range(60)], "doc_id long, lang string, data binary")
