@@ -55,7 +55,7 @@ def test_batches_for_python_are_small(spark, run):
 
 
 @pytest.mark.parametrize("batches", [1, 24])
-@pytest.mark.parametrize(("step", "most"), [("term_counts", 44), ("class_totals", 20), ("detect", 8)])
+@pytest.mark.parametrize(("step", "most"), [("term_counts", 44), ("class_totals", 20), ("document_features", 8), ("detect", 8)])
 def test_memory_of_a_task_does_not_follow_its_rows(spark, monkeypatch, step, most, batches):
     """Steps as a task runs them: 12 MB of texts, in one batch or in many, take at most so many MB beside themselves."""
     r = np.random.default_rng(3)
@@ -71,6 +71,7 @@ def test_memory_of_a_task_does_not_follow_its_rows(spark, monkeypatch, step, mos
     {
         "term_counts": lambda: tokens.term_counts(docs, tokens.NGrams(1, 4)),
         "class_totals": lambda: matching.class_totals(docs, features, "lang"),
+        "document_features": lambda: matching.document_features(docs, features),
         "detect": lambda: detect.detect(docs, one),
     }[step]()
     tracemalloc.start()
