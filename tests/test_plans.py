@@ -156,3 +156,13 @@ def test_mixes_of_many_texts(monkeypatch, n_langs, topn, order):
         assert max(len(w) for w, _ in want) > 1
     assert detect.detected(one, [])["langs"].to_pylist() == []
     assert detect.detected(detect.Detector([], np.empty(0), np.empty((0, 0)), [], 5, order), [b"a"])["langs"].to_pylist() == [[]]
+
+
+def test_what_is_trained_carries_no_plan(spark):
+    """Steps that led to a model do not stand in each plan that is made of it."""
+    docs = registry.items(spark, SF)
+    built = train.train(docs, train.Settings(count=40))
+    for table in (built.features, built.prototypes, built.langs):
+        assert not any(x in plan(table) for x in ("MapInArrow", "InMemoryRelation", "Join"))
+    none = train.train(docs.where("false"), train.Settings(count=40))
+    assert [df.count() for df in (none.features, none.prototypes, none.langs)] == [0, 0, 0]
