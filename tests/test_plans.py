@@ -166,3 +166,24 @@ def test_what_is_trained_carries_no_plan(spark):
         assert not any(x in plan(table) for x in ("MapInArrow", "InMemoryRelation", "Join"))
     none = train.train(docs.where("false"), train.Settings(count=40))
     assert [df.count() for df in (none.features, none.prototypes, none.langs)] == [0, 0, 0]
+
+
+def test_no_python_step_of_a_query_follows_its_rows(spark, monkeypatch):
+    """Every step in Python that training and bilingual_candidates take: 12 MB of texts in one batch take at most 32, 36 and 8 MB beside themselves."""
+    steps, plain = [], type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(registry, "_trained", {})
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, run, *rest: steps.append((run, self.columns)) or plain(self, run, *rest))
+    registry.QUERIES["bilingual_candidates"](spark, SF)
+    said = [bytes(r.data) for r in registry.texts(spark, SF).collect()]
+    said *= (12 << 20) // sum(map(len, said)) + 1
+    values = {"doc_id": range(len(said)), "lang": ["de", "en", "es", "fr"] * len(said), "lang_id": pa.array([0, 1, 2, 3] * len(said), pa.int32()), "data": pa.array(said, pa.binary())}
+    peaks = []
+    for run, columns in steps:
+        rows = pa.RecordBatch.from_pydict({c: pa.array(values[c][: len(said)]) for c in columns})
+        tracemalloc.start()
+        try:
+            assert sum(out.num_rows for out in run(iter([rows])))
+            peaks.append(tracemalloc.get_traced_memory()[1] >> 20)
+        finally:
+            tracemalloc.stop()
+    assert len(peaks) == 3 and all(peak < most for peak, most in zip(peaks, (32, 36, 8), strict=True)), peaks
